@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring_dedup
+from . import best_fit_packing, simhash_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring_dedup.query,
+    "op5_simhash_dedup": simhash_dedup.query,
+    "op10_best_fit_packing": best_fit_packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
