@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import best_fit_packing, simhash_dedup, substring_dedup
+from . import best_fit_packing, language_id, pii, simhash_dedup, source_mixing, substring_dedup, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": substring_dedup.query,
+    "op3_language_id": language_id.query,
     "op5_simhash_dedup": simhash_dedup.query,
+    "op6_url_filters": url_filters.query,
+    "op7_pii": pii.query,
+    "op9_source_mixing": source_mixing.query,
     "op10_best_fit_packing": best_fit_packing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
+    "op6_url_filters": url_filters.ORACLE_SQL,
 }
