@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,8 @@ WINDOW, PREFIXES, GRAM = 13, (1, 2, 4, 8), 6
 GROUP_SUFFIXES = 1 << 20
 #: Text of a blob, in bytes of the input's estimated size.
 BLOB_BYTES = 4 << 20
+#: Buckets in one array of counts, and groups in which the tasks' arrays are first added.
+SLICE, SPREAD = 512, 32
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -77,8 +80,8 @@ def _buckets(words: _Words, at: np.ndarray, length: int, n: int) -> np.ndarray:
     return (words.path(at, length) >> np.uint64(20)).astype(np.int64) & (n - 1)
 
 
-def _prefix_counts(docs: DataFrame, text: str, window: int, buckets: int) -> DataFrame:
-    """level, bucket, n: suffixes of all texts below each hashed prefix."""
+def _prefix_counts(docs: DataFrame, text: str, window: int, buckets: int) -> np.ndarray:
+    """Suffixes of all texts below each hashed prefix, by level and bucket; added up slice by slice."""
     levels = [x for x in PREFIXES if x < window]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,10 +92,21 @@ def _prefix_counts(docs: DataFrame, text: str, window: int, buckets: int) -> Dat
                 words = _Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window)
                 for k, length in enumerate(levels):
                     n[k] += np.bincount(_buckets(words, words.at, length, buckets), minlength=buckets)
-        k, b = np.nonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n[k, b])], ["level", "bucket", "n"])
+        at = TaskContext.get().partitionId() % SPREAD
+        for k in range(0, buckets, SLICE):
+            part = np.ascontiguousarray(n[:, k : k + SLICE])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "spread", "counts"])
 
-    return docs.select(text).mapInArrow(count, "level int, bucket int, n bigint").groupBy("level", "bucket").agg(F.sum("n").alias("n"))
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
+        return pa.table({"slice": table.column("slice")[:1], "spread": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "slice int, spread int, counts binary"
+    counted = docs.select(text).mapInArrow(count, schema).groupBy("slice", "spread").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
+    out = np.zeros((len(levels), buckets), np.int64)
+    for r in counted.collect():  # one array of levels x buckets in all, whatever the corpus
+        out[:, r.slice : r.slice + SLICE] = np.frombuffer(bytes(r.counts), np.int64).reshape(len(levels), -1)
+    return out
 
 
 def _sorted_rows(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
@@ -199,11 +213,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", win
     blobs = max(4 * C.partitions(spark), min(C.plan_bytes(docs) // BLOB_BYTES, 1 << 22))
     slots = 1 << max(12, min(20, (blobs - 1).bit_length() + 4))
     levels = [x for x in PREFIXES if x < window]
-    by_level = _prefix_counts(docs, text, window, slots).collect()  # at most levels x slots rows, whatever the corpus
-    counts = np.zeros((max(len(levels), 1), slots), np.int64)
-    for r in by_level:
-        counts[r.level, r.bucket] = r.n
-    limit = max(1, min(GROUP_SUFFIXES, int(counts[0].sum()) // (4 * C.partitions(spark))))
+    counts = _prefix_counts(docs, text, window, slots)
+    limit = max(1, min(GROUP_SUFFIXES, int(counts[:1].sum()) // (4 * C.partitions(spark))))
     hot = [x > limit for x in counts]
 
     dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select(F.pmod(F.xxhash64("doc_id"), F.lit(blobs)).cast("int").alias("blob"), "doc_id", "text")
