@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, StringType
 
 from .text import mc_answer, py_strip
 
@@ -47,7 +48,7 @@ def _leaves(text: str) -> dict[str, str]:
     return found
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(MapType(StringType(), StringType()))
 def xml_fields(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The fields of texts nested to any depth; a later field of the same name replaces an earlier one."""
     for some in texts:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.messages import SAMPLING
-from ..schema import TASK_OUTPUT
+from ..schema import TASK_OUTPUT, struct
 
 
 @dataclass
@@ -203,13 +203,15 @@ def run_record(task: Task, record: dict, client: ModelClient, commit: str | None
 def rollout(records: DataFrame, task: Task, client: Callable[[], ModelClient] = HashClient, commit: str | None = None, file: str | None = None, workers: int = 8) -> DataFrame:
     """records through a task: rows of TASK_OUTPUT, errors under __ERROR__. ``client`` is made once for each partition."""
 
+    names = struct(TASK_OUTPUT).names
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         made = client()
         with ThreadPoolExecutor(workers) as pool:
             for frame in frames:
                 rows = [_plain(r) for r in frame.to_dict("records")]
                 out = list(pool.map(lambda r: run_record(task, r, made, commit, file), rows))
-                yield pd.DataFrame([{f.name: o.get(f.name) for f in TASK_OUTPUT.fields} for o in out], columns=TASK_OUTPUT.names, dtype=object)
+                yield pd.DataFrame([{n: o.get(n) for n in names} for o in out], columns=names, dtype=object)
 
     return records.mapInPandas(run, TASK_OUTPUT)
 

@@ -16,7 +16,7 @@ from ..functions.names import short_hash
 from ..operators.prep import Recipe, numbered
 
 
-def read_strict(spark: SparkSession, path, schema: T.StructType) -> DataFrame:
+def read_strict(spark: SparkSession, path, schema: T.StructType | str) -> DataFrame:
     """JSON lines; blank lines are skipped, a malformed one fails the query."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
@@ -29,8 +29,9 @@ def read_task_output(spark: SparkSession, path) -> DataFrame:
     return read_strict(spark, path, S.TASK_OUTPUT)
 
 
-def read_lenient(spark: SparkSession, path, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+def read_lenient(spark: SparkSession, path, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
     """(rows, bad lines) of JSON lines; malformed ones are kept apart, as text in column raw."""
+    schema = S.struct(schema) if isinstance(schema, str) else T.StructType(list(schema.fields))
     both = spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("raw"), F.from_json("value", schema.add("_bad", "string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
     fine = F.col("row").isNotNull() & F.col("row._bad").isNull()
     return both.where(fine).select("row.*").drop("_bad"), both.where(~fine).select("raw")
@@ -38,7 +39,7 @@ def read_lenient(spark: SparkSession, path, schema: T.StructType) -> tuple[DataF
 
 def read_results(spark: SparkSession, path, include_raw: bool = False) -> DataFrame:
     """Index rows of the supported version; with include_raw all lines, raw beside them, and valid."""
-    schema = T.StructType(S.EVAL_RESULT.fields)
+    schema = S.struct(S.EVAL_RESULT)
     lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias("raw"), F.from_json("value", schema).alias("row"))
     valid = F.coalesce((F.col("row.version") == S.RESULT_VERSION) & F.col("row.id").isNotNull() & F.col("row.eval.name").isNotNull(), F.lit(False))
     typed = lines.withColumn("valid", valid)
@@ -91,11 +92,11 @@ def read_registry(spark: SparkSession, path: str) -> DataFrame:
     return models.select("e.key", "e.value.provider", "e.value.model", "e.value.params.temperature", "e.value.sysprompt").withColumnRenamed("key", "name")
 
 
-def read_metrics(spark: SparkSession, path, schema: T.StructType = S.METRICS) -> DataFrame:
+def read_metrics(spark: SparkSession, path, schema: T.StructType | str = S.METRICS) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-_CHECKPOINT = T.StructType.fromDDL("name string, path string, batch long, epoch long")
+_CHECKPOINT = "name string, path string, batch long, epoch long"
 
 
 def read_experiments(spark: SparkSession, logs: str) -> DataFrame:

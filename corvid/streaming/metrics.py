@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.training import curve, normalize_metrics
-from ..schema import METRICS
+from ..schema import METRICS, struct
 
 
 def follow(spark: SparkSession, folder: str, total_steps: int, parameters: int, files_per_trigger: int | None = None) -> DataFrame:
     """A streaming frame step, train_loss, grad, val_loss, progress over the log's parts; lines that are no JSON are passed over."""
-    reader = spark.readStream.schema(METRICS.add("_bad", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
+    reader = spark.readStream.schema(struct(METRICS).add("_bad", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     rows = reader.json(folder).where(F.col("_bad").isNull()).drop("_bad")
