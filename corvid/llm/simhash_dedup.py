@@ -8,6 +8,10 @@ from the top and counts, in each node, the shared bits in which the query differ
 child's mask holds its parent's, so the count only grows, and a node above the allowed
 distance drops its whole group.
 
+Before that, an exact sieve drops fingerprints that cannot link: with the bits cut into two
+more fields than may differ, a linked pair agrees in two fields, so a fingerprint that
+shares no pair of fields with another one is left out.
+
 The same pruning deals queries to blocks: the tops of the blocks form the upper levels,
 and a fingerprint visits only later blocks whose top it does not exceed. A block keeps a
 union-find of what links, and passes on one edge for each member (to the smallest of its
@@ -151,11 +155,23 @@ def _link_block(fps: np.ndarray, guests: np.ndarray, most: int) -> pa.Table:
     return pa.table({"a": both[moved].view(np.int64), "b": both[root[moved]].view(np.int64)})
 
 
+def near(distinct: DataFrame, most: int) -> DataFrame:
+    """The fingerprints (column fp, distinct) that agree with another one in two of most + 2 fields."""
+    fields = most + 2
+    cuts = [64 * k // fields for k in range(fields + 1)]
+    field = [F.shiftleft(F.shiftrightunsigned("fp", cuts[k]), 64 - cuts[k + 1] + cuts[k]) for k in range(fields)]
+    keys = [F.xxhash64(field[i], field[j], F.lit(i * fields + j)) for i in range(fields) for j in range(i)]
+    keyed = distinct.select("fp", F.explode(F.array(*keys)).alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return keyed.join(shared, "key").select("fp").distinct()
+
+
 def links(distinct: DataFrame, most: int = DISTANCE, block: int = BLOCK) -> DataFrame:
     """Edges a, b (fingerprints) whose components are those of all pairs within ``most`` bits; distinct: column fp."""
     spark = distinct.sparkSession
+    distinct = C.written(near(distinct, most))
     n = distinct.count()
-    parts = max(1, min(n // 64, max(C.partitions(spark), -(-n // block))))
+    parts = max(1, min(n // 256, max(C.partitions(spark), -(-n // block))))
     # Gray rank in SQL: a prefix xor of the bits; blocks are ranges of it (sign bit flipped: unsigned order).
     x = F.col("fp")
     for s in (1, 2, 4, 8, 16, 32):
