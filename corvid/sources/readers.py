@@ -78,7 +78,7 @@ def directory_hash(folder: str) -> str:
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
     """name (path below folder without .md), text of all Markdown files."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     top = f"{os.path.abspath(folder).rstrip('/')}/"
     name = F.regexp_replace(F.substring_index(F.url_decode("_metadata.file_path"), top, -1), r"\.md$", "")
     return files.select(name.alias("name"), F.col("value").alias("text"))
@@ -87,7 +87,7 @@ def read_documents(spark: SparkSession, folder: str) -> DataFrame:
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     """name, provider, model, temperature, sysprompt of a registry file."""
     entry = "struct<provider:string,model:string,params:struct<temperature:double>,sysprompt:string>"
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     models = whole.select(F.explode(F.map_entries(F.from_json("value", f"version int, models map<string,{entry}>")["models"])).alias("e"))
     return models.select("e.key", "e.value.provider", "e.value.model", "e.value.params.temperature", "e.value.sysprompt").withColumnRenamed("key", "name")
 
