@@ -44,8 +44,8 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32) if plain else np.zeros(0, np.uint32)
 
 
-def _columns(codes: np.ndarray) -> np.ndarray:
-    """The hashed columns of all n-grams, in reading order of each length."""
+def _columns(codes: np.ndarray, starts: int | None = None) -> np.ndarray:
+    """The hashed columns of all n-grams (that start in the first ``starts`` characters), in reading order of each length."""
     parts, h = [], np.zeros(len(codes), np.uint32)
     for n in range(1, max(GRAMS) + 1):
         if len(codes) < n:
@@ -54,6 +54,7 @@ def _columns(codes: np.ndarray) -> np.ndarray:
         if n in GRAMS:
             mixed = (h ^ (h >> np.uint32(15))) * np.uint32(0x85EBCA6B) + np.uint32(n)
             parts.append((mixed ^ (mixed >> np.uint32(16))) & np.uint32(COLUMNS - 1))
+    parts = [p[:starts] for p in parts]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
@@ -61,7 +62,7 @@ def _features(text: str | None) -> Iterator[np.ndarray]:
     """The columns of a text's n-grams, repeats included, some characters at a time."""
     codes = _codes(text or "")
     for lo in range(0, len(codes), PART):
-        yield _columns(codes[lo : lo + PART + max(GRAMS) - 1] if lo + PART < len(codes) else codes[lo:])
+        yield _columns(codes[lo : lo + PART + max(GRAMS) - 1], PART)
 
 
 @dataclass
@@ -192,7 +193,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     data = [(number[x], columns, shares * idf[columns] * SCALE) for x, columns, shares in rows]
     hold = max(1, int(len(data) * HOLD)) if len(data) >= 10 else 0
     weights, bias = _ftrl(data[hold:], max(1, len(languages)))
-    scores = np.array([v @ weights[c] + bias for _, c, v in data[:hold]]).reshape(hold, -1)
+    scores = np.array([v @ weights[c] + bias for _, c, v in data[:hold]]).reshape(hold, weights.shape[1])
     return Model(languages, (weights * idf[:, None]).astype(np.float32), bias, _temperature(scores, np.array([y for y, _, _ in data[:hold]], int)))
 
 
