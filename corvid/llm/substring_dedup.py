@@ -330,16 +330,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
-), p AS (
-  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 11, 1))) AS i FROM d
+), t AS (
+  SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k, len(w) AS n FROM d
+), g AS (
+  SELECT doc_id, k, n, array_to_string(list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING), ' ') AS s FROM t
 ), h AS (
-  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(w[i:i + 12], ' ')) AS low FROM p
+  SELECT doc_id, k, min(doc_id) OVER (PARTITION BY s) AS low FROM g WHERE k + 12 <= n
 ), gone AS (
-  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM h WHERE low < doc_id
-), g AS (
-  SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id
+  SELECT DISTINCT doc_id, k + j AS k, true AS gone FROM h, range(0, 13) r(j) WHERE low < doc_id
 )
-SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ks), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT coalesce(list_contains(ks, k), false)), lambda k: w[k]), ' ')) AS kept_sha256
-FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+SELECT d.doc_id, count(t.k) AS n_words, count(gone.gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY t.k) FILTER (WHERE gone.gone IS NULL), '')) AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.k = t.k GROUP BY d.doc_id
 """
