@@ -41,7 +41,9 @@ _OTHER = re.compile(r"[\W\d_]+")
 def _codes(text: str) -> np.ndarray:
     """Code points of the lower-cased letters, runs of anything else as one space, a space at both ends; empty without letters."""
     plain = _OTHER.sub(" ", text.lower()).strip(" ")
-    return np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32) if plain else np.zeros(0, np.uint32)
+    if not any(map(str.isalpha, plain)):  # numerals that are no digits may be left
+        return np.zeros(0, np.uint32)
+    return np.frombuffer(f" {plain} ".encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _columns(codes: np.ndarray, starts: int | None = None) -> np.ndarray:
