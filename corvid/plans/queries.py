@@ -19,6 +19,7 @@ from ..operators import registry as G
 from ..operators import results as R
 from ..operators import rollout as O
 from ..operators import training as T
+from ..schema import TRAIN_SAMPLE
 from ..streaming import metrics as stream
 from . import shapes as H
 
@@ -494,3 +495,107 @@ def metrics_stream(spark, d):
     flow = stream.follow(spark, folder, STEPS, PARAMETERS, files_per_trigger=2)
     stream.on_progress(flow, lambda batch, _: batch.write.mode("append").parquet(out), f"{folder}-state", once=True).awaitTermination()
     return spark.read.schema(flow.schema).parquet(out)
+
+
+# ---------------------------------------------------------------- messages, names and records
+
+
+@query(r"""SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN text WHEN 1 THEN '<think>r</think>' || text WHEN 2 THEN '' ELSE text || text END AS content FROM conversations""")
+def content_blocks(spark, d):
+    k, x = (F.col("conv_id") + F.col("turn")) % 4, F.col("text")
+    thought = F.to_json(F.struct(F.lit("thinking").alias("type"), F.lit("r").alias("thinking")))
+    said, bare = F.to_json(F.struct(F.lit("text").alias("type"), x.alias("text"))), F.to_json(F.struct(x.alias("text")))
+    quoted = F.substring(F.to_json(F.struct(x.alias("x"))), 6, 1_000_000_000)
+    blocks = lambda *b: F.concat(F.lit("["), F.concat_ws(",", *b), F.lit("]"))
+    json = F.when(k == 0, F.regexp_replace(quoted, r"\}\z", "")).when(k == 1, blocks(thought, said)).when(k == 2, "[]").otherwise(blocks(said, bare))
+    return H.table(spark, d, "conversations").select("conv_id", "turn", X.normalize_content(json).alias("content"))
+
+
+@query("""SELECT conv_id, count(*) + 2 AS forced, count(*) + 1 AS answered, CASE WHEN conv_id % 3 = 0 THEN 'fallback' ELSE arg_min(text, turn) END AS first_content FROM conversations GROUP BY conv_id""")
+def message_assembly(spark, d):
+    m = F.col("messages")
+    none = F.when(F.col("conv_id") % 3 == 0, F.slice(m, 1, 0)).otherwise(m)
+    return H.conversations(H.table(spark, d, "conversations")).select(
+        "conv_id", F.size(M.append_assistant(M.inject_system(m, F.lit("p"), always=True), F.lit("a"))).cast("long").alias("forced"), F.size(M.append_assistant(m, F.lit("a"))).cast("long").alias("answered"),
+        F.get(M.or_prompt(none, F.lit("fallback")), F.lit(0))["content"].alias("first_content"),
+    )
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 2 ELSE 1 END AS n_params, CASE WHEN event_type = 'view' THEN event_id::VARCHAR END AS max_tokens FROM events")
+def sampling_params(spark, d):
+    given = F.create_map(F.lit("temperature"), F.lit("0.7"), F.lit("max_tokens"), F.when(F.col("event_type") == "view", F.col("event_id").cast("string")), F.lit("odd"), F.lit("x"))
+    p = M.sampling_params(given)
+    return H.table(spark, d, "events").select("event_id", F.size(p).alias("n_params"), F.try_element_at(p, F.lit("max_tokens")).alias("max_tokens"))
+
+
+@query("""SELECT p_partkey, lower(p_brand) AS base, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'unknown' END AS organization, 'v' || (p_size % 9) || '.' || (p_size % 5) AS version, replace(p_name, ' ', '-') || '-x' AS file,
+  CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'prompted_trained' WHEN p_partkey % 2 = 0 THEN 'trained' WHEN p_partkey % 3 = 0 THEN 'prompted' ELSE 'base' END AS mode,
+  lower(CASE WHEN p_partkey % 5 = 0 THEN p_brand ELSE p_brand || '-' || p_size END) AS checkpoint, CASE WHEN p_partkey % 7 = 0 THEN 'E' || p_partkey ELSE 'ev' END AS folder,
+  p_brand || '::' || CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE 'qwen3' END || '::' || p_name AS model, floor(p_retailprice / 10000 * p_size + 0.5)::INT AS correct,
+  CASE p_partkey % 3 WHEN 0 THEN 'binary' WHEN 1 THEN 'scaled:' || p_size ELSE 'unknown' END AS score_type, p_brand || ' | ' || p_size AS header FROM part""")
+def model_names(spark, d):
+    k, brand, size = F.col("p_partkey"), F.col("p_brand"), F.col("p_size")
+    even, third = k % 2 == 0, k % 3 == 0
+    return H.table(spark, d, "part").select(
+        "p_partkey", N.base_name(F.concat(F.lit("a/b/"), brand)).alias("base"), N.organization(F.when(even, F.concat_ws("/", "p_type", "p_name")).otherwise(F.lit("plain"))).alias("organization"),
+        N.version_of_alias(F.concat(F.lit("id-v"), size % 9, F.lit("."), size % 5, F.lit("-full"))).alias("version"), N.safe_file_name(F.concat(F.replace("p_name", F.lit(" "), F.lit("/")), F.lit("::x"))).alias("file"),
+        N.model_mode(F.when(even, "a::b").otherwise("a"), F.when(third, "Be brief.").otherwise("")).alias("mode"), N.checkpoint_name(brand, F.when(k % 5 == 0, "final").otherwise(size.cast("string"))).alias("checkpoint"),
+        N.output_name(F.when(k % 7 == 0, F.concat(F.lit("e"), k, F.lit("-final"))).otherwise("gpt"), F.lit("ev")).alias("folder"), N.model_string(brand, F.when(even, F.col("p_type")), F.col("p_name")).alias("model"),
+        N.correct_estimate(F.col("p_retailprice") / 10000, size).alias("correct"), N.score_type(F.when(third, "binary").when(k % 3 == 1, "scaled"), size).alias("score_type"), N.header(brand, F.lit(None), size).alias("header"),
+    )
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%f') AS iso, o_orderdate AS back FROM orders")
+def iso_times(spark, d):
+    iso = N.iso_encode(F.col("o_orderdate"))
+    return H.table(spark, d, "orders").select("o_orderkey", iso.alias("iso"), N.iso_decode(iso).alias("back"))
+
+
+@query("SELECT conv_id, count(*) AS n, md5(string_agg(role || text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def record_json(spark, d):
+    said = H.conversations(H.table(spark, d, "conversations")).select("conv_id", F.to_json(F.struct(F.col("conv_id").cast("string").alias("id"), "messages")).alias("json"))
+    back = said.select("conv_id", F.from_json("json", TRAIN_SAMPLE).alias("s"))
+    return back.select("conv_id", F.size("s.messages").cast("long").alias("n"), F.md5(F.array_join(F.transform("s.messages", lambda m: F.concat(m["role"], m["content"])), "")).alias("digest"))
+
+
+@query("SELECT doc_id, 'Judge it.' || chr(10) || chr(10) || 'Prompt:' || chr(10) || lang || chr(10) || chr(10) || 'Response:' || chr(10) || source || chr(10) || chr(10) || 'Reply with <analysis>your reasoning</analysis> and <score>1-5</score>.' AS prompt FROM documents")
+def judge_prompts(spark, d):
+    return H.table(spark, d, "documents").select("doc_id", J.judge_prompt(F.lit("Judge it."), F.col("source"), F.col("lang"), 5).alias("prompt"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN s_name ELSE n_name END AS model FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 25 LEFT JOIN supplier ON s_suppkey = 1")
+def alias_resolution(spark, d):
+    k = F.col("c_custkey")
+    nation = H.table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.col("n_name").alias("model"))
+    log = H.table(spark, d, "supplier").where("s_suppkey = 1").select(F.lit("exp").alias("name"), F.col("s_name").alias("model"))
+    asked = H.table(spark, d, "customer").select("c_custkey", F.when(k % 4 == 0, "none").when(k % 2 == 0, "exp").otherwise(F.concat(F.lit("n"), k % 25)).alias("alias"))
+    return G.resolve_alias(asked, nation, log).select("c_custkey", "model")
+
+
+@query("SELECT 'id-release-' || n_name AS alias, 'id-v1.0-' || n_name AS target FROM nation WHERE n_regionkey = 1")
+def release_aliases(spark, d):
+    names = H.table(spark, d, "nation").select(F.concat(F.when(F.col("n_regionkey") == 1, "id-v1.0-").otherwise("id-v1.1-"), "n_name").alias("name"))
+    return G.release_aliases(names, "id", "v1.0")
+
+
+@query("SELECT name FROM (SELECT 'e' || lpad(c_custkey::VARCHAR, 6, '0') AS name FROM customer) ORDER BY name DESC LIMIT 20")
+def recent_experiments(spark, d):
+    return T.recent_experiments(H.table(spark, d, "customer").select(F.concat(F.lit("e"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("name")), 20, False)
+
+
+@query(H.sql("SELECT 'all' AS view, count(*) AS n FROM results UNION ALL SELECT 'visible', count(*) FILTER (WHERE complete AND NOT archived) FROM results", "results"))
+def results_counts(spark, d):
+    t = H.results(spark, d)
+    return R.visible(t, include_all=True).agg(F.count("*").alias("n")).select(F.lit("all").alias("view"), "n").union(R.visible(t).agg(F.count("*").alias("n")).select(F.lit("visible"), "n"))
+
+
+@query(f"WITH m AS ({_MANIFEST_SQL}), s AS (SELECT DISTINCT category AS owner FROM m UNION SELECT 'en' UNION SELECT 'fr') SELECT DISTINCT d.source, coalesce(s.owner IS NOT NULL, false) OR d.source = 'src0' AS stale FROM (SELECT DISTINCT CASE WHEN source = 'src0' THEN source ELSE lang END AS source FROM documents) d LEFT JOIN s ON s.owner = d.source")
+def source_staleness(spark, d):
+    docs = H.table(spark, d, "documents")
+    return L.source_staleness(docs.select(F.when(F.col("source") == "src0", F.col("source")).otherwise(F.col("lang")).alias("source")).distinct(), pipeline_status(spark, d))
+
+
+@query("SELECT f AS field, a, b FROM (SELECT unnest(['n_name', 'n_nationkey', 'n_regionkey']) AS f, unnest([x.n_name, x.n_nationkey::VARCHAR, x.n_regionkey::VARCHAR]) AS a, unnest([y.n_name, y.n_nationkey::VARCHAR, y.n_regionkey::VARCHAR]) AS b FROM nation x, nation y WHERE x.n_nationkey = 0 AND y.n_nationkey = 5) WHERE a IS DISTINCT FROM b")
+def result_pair_diff(spark, d):
+    t = H.table(spark, d, "nation")
+    return R.pair_diff(t.where("n_nationkey = 0"), t.where("n_nationkey = 5"), ["n_name", "n_nationkey", "n_regionkey"])
