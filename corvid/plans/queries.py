@@ -144,7 +144,7 @@ def shuffled_limit(spark, d):
     return P.first_shuffled(H.table(spark, d, "benchmark").select("item_id"), 7, 20, "item_id")
 
 
-@query("SELECT lang, count(*) AS rows, count(*) - 100 AS train_rows, (count(*) - 100) // 32 AS steps_per_epoch, (count(*) - 100) // 32 * 3 AS total_steps FROM documents GROUP BY lang")
+@query("SELECT lang, count(*) AS rows, count(*) - 100 AS train_rows, floor((count(*) - 100) / 32)::BIGINT AS steps_per_epoch, floor((count(*) - 100) / 32)::BIGINT * 3 AS total_steps FROM documents GROUP BY lang")
 def step_arithmetic(spark, d):
     return T.steps_columns(H.table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("rows")), TEST_SIZE, BATCH, EPOCHS)
 
