@@ -1,4 +1,4 @@
-"""Training-set shaping and experiment logs."""
+"""Training sets and experiment logs."""
 
 from __future__ import annotations
 
