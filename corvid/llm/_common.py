@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are hashed at once; bounds the arrays of a Python worker.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 #: The word pattern of the contracts: everything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -18,7 +18,7 @@ from . import _common as C
 #: The vocabulary file of the contract, and the ids that may end a document.
 WORD_TOKENIZER = "word_bpe_49k.json"
 #: Words a worker remembers before it starts afresh; words tokenized at once.
-REMEMBERED, RUN = 3 << 20, 512
+REMEMBERED, RUN = 2 << 20, 512
 
 _MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
 _MARK[list(b".,!?;:*$%&#")] = True
