@@ -28,25 +28,27 @@ from ._graph import components, local_roots
 LEAST = 0.98
 #: Tables; buckets that a vector is in, in each; vectors in a tile of a large bucket.
 TABLES, PROBES, TILE = 8, 4, 256
+#: Pairs that a task joins at a time.
+PAIRS = 1 << 18
 SEED = 97
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
-    """The fast Walsh-Hadamard transform of each row; the width is a power of two."""
-    x, h = x.copy(), 1
-    n = x.shape[1]
-    while h < n:
-        y = x.reshape(len(x), n // (2 * h), 2, h)
-        x = np.stack([y[:, :, 0] + y[:, :, 1], y[:, :, 0] - y[:, :, 1]], axis=2).reshape(len(x), n)
+    """The fast Walsh-Hadamard transform of each column; the height is a power of two."""
+    d, n = x.shape
+    h = 1
+    while h < d:
+        y = x.reshape(d // (2 * h), 2, h, n)
+        x = np.stack([y[:, 0] + y[:, 1], y[:, 0] - y[:, 1]], axis=1).reshape(d, n)
         h *= 2
-    return x / np.sqrt(n)
+    return x / np.sqrt(d)
 
 
 def buckets(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROBES) -> np.ndarray:
     """rows x tables x probes: bucket codes of unit vectors, the nearest first; each row's codes in a table differ."""
     width = 1 << max(1, (x.shape[1] - 1).bit_length())
-    padded = np.zeros((len(x), width))
-    padded[:, : x.shape[1]] = x
+    padded = np.zeros((width, len(x)))  # a vector is a column: all steps run along rows
+    padded[: x.shape[1]] = x.T
     rng = np.random.Generator(np.random.PCG64(SEED))
     out = np.zeros((len(x), tables, probes), np.int64)
     rows = np.arange(len(x))
@@ -55,16 +57,16 @@ def buckets(x: np.ndarray, hashes: int, tables: int = TABLES, probes: int = PROB
         for _ in range(hashes):
             y = padded
             for _ in range(3):
-                y = hadamard(y * rng.choice([-1.0, 1.0], width))
+                y = hadamard(y * rng.choice([-1.0, 1.0], width)[:, None])
             size = np.abs(y)
-            a = size.argmax(axis=1)
-            top = size[rows, a]
-            size[rows, a] = -1
-            b = size.argmax(axis=1)
-            code = lambda k, y=y: 2 * k + (y[rows, k] < 0)
+            a = size.argmax(axis=0)
+            top = size[a, rows]
+            size[a, rows] = -1
+            b = size.argmax(axis=0)
+            code = lambda k, y=y: 2 * k + (y[k, rows] < 0)
             first.append(code(a))
             second.append(code(b))
-            loss.append(top - size[rows, b])
+            loss.append(top - size[b, rows])
         # Probe 0 is the nearest corner of all hashes; others change the hashes with the least loss, one or two at a time.
         changes = [(0,) * hashes] + [tuple(int(i == k) for i in range(hashes)) for k in range(hashes)] + [tuple(int(i in (j, k)) for i in range(hashes)) for k in range(hashes) for j in range(k)]
         cost = np.stack([sum((np.where(c, gap, 0.0) for c, gap in zip(change, loss, strict=True)), np.zeros(len(x))) for change in changes], axis=1)
@@ -114,16 +116,26 @@ class _Links:
         self.copies = copies[one]
         self.count = np.zeros(len(self.keys), np.int64)
         self.root = np.arange(len(self.keys))
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.pairs = 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        """Pairs of row numbers."""
-        if len(a):
-            a, b = self.back[a], self.back[b]
+        """Pairs of row numbers; many are joined at a time."""
+        self.held.append((self.back[a], self.back[b]))
+        self.pairs += len(a)
+        if self.pairs >= PAIRS:
+            self._join()
+
+    def _join(self) -> None:
+        if self.pairs:
+            a, b = (np.concatenate(x) for x in zip(*self.held, strict=True))
             np.add.at(self.count, a, self.copies[b])
             np.add.at(self.count, b, self.copies[a])
             self.root = local_roots(self.root, a, b)
+        self.held, self.pairs = [], 0
 
     def batch(self) -> pa.RecordBatch:
+        self._join()
         some = np.flatnonzero(self.count)
         return pa.RecordBatch.from_arrays([pa.array(self.keys[some]), pa.array(self.count[some]), pa.array(self.keys[self.root[some]])], ["key", "links", "root"])
 
@@ -140,8 +152,7 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, least: float, hashes:
     t = t.take(pa.array(tile))
     label, table, bucket, one, two, mine, keys = (col(n) for n in ("label", "table_", "bucket", "one", "two", "mine", "key"))
     unit = _unit(_matrix(t.column("x").combine_chunks() if t.column("x").num_chunks > 1 else t.column("x").chunk(0), width))
-    codes = buckets(unit, hashes, tables, probes)
-    links = _Links(keys, col("copies"))
+    found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     cut = np.flatnonzero(np.r_[True, (label[1:] != label[:-1]) | (table[1:] != table[:-1]) | (bucket[1:] != bucket[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1])])
     for lo, hi in zip(cut.tolist(), np.r_[cut[1:], len(keys)].tolist(), strict=True):
         if hi - lo < 2:
@@ -155,9 +166,17 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, least: float, hashes:
             near = np.triu(near, 1)
         i, j = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
         if len(i):
-            near = near[np.ix_(i, j)] & _first_shared(codes[a[i]], codes[b[j]], int(table[lo]), int(bucket[lo]))
-            x, y = np.nonzero(near)
-            links.add(a[i][x], b[j][y])
+            found.append((lo, a[i], b[j], near[np.ix_(i, j)]))
+    # Only vectors that are near another one need all their buckets, to count each pair once.
+    links = _Links(keys, col("copies"))
+    some = np.unique(np.concatenate([links.back[x] for f in found for x in f[1:3]])) if found else np.zeros(0, int)
+    one_row = np.zeros(len(links.keys), np.int64)
+    one_row[links.back] = np.arange(len(keys))
+    codes = buckets(unit[one_row[some]], hashes, tables, probes)
+    for lo, a, b, near in found:
+        ca, cb = (codes[np.searchsorted(some, links.back[x])] for x in (a, b))
+        x, y = np.nonzero(near & _first_shared(ca, cb, int(table[lo]), int(bucket[lo])))
+        links.add(a[x], b[y])
     yield links.batch()
 
 
