@@ -25,7 +25,7 @@ from ._tokens import WORD_TOKENIZER, word_ids
 #: The end-of-document id of the word tokenizer; ids fit 16 bits.
 END, WIDTH = 49407, 2
 #: Tokens in a block; blocks in a stretch of the prefix scan.
-BLOCK, STRETCH = 1 << 18, 256
+BLOCK, STRETCH = 1 << 16, 256
 
 
 def blocks_of_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
