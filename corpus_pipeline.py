@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvid.llm import best_fit_packing, language_id, pii, simhash_dedup, source_mixing
+from corvid.llm import best_fit_packing, language_id, pii, shingle_dedup, source_mixing
 from corvid.llm._common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -33,16 +33,16 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays (one row, also of rows that repeat it).
+    """Of each group of near copies the row with the smallest doc_id stays (nulls last; of rows that share it, the one with the smallest hash).
 
-    Rows without a doc_id cannot be told apart by it and all stay.
+    Copies link at five-word shingles with a similarity of 0.8 or more, and by op5's fingerprints.
     """
-    docs = _columns(docs)
-    keepers = simhash_dedup.cluster(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi")
-    # Rows that repeat a doc_id: the one that sorts first stays.
-    first = kept.groupBy("doc_id").agg(F.min_by(F.struct(*COLUMNS[1:]), F.xxhash64(*COLUMNS[1:])).alias("row"))
-    return _columns(first.select("doc_id", "row.*")).union(docs.where("doc_id is null"))
+    docs = _columns(docs).withColumn("row", F.xxhash64(*COLUMNS))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
+    keepers = shingle_dedup.cluster(docs).groupBy("component").agg(first).select(F.col("first.row").alias("row"))
+    # Rows that are equal in all columns share a hash: one stays.
+    kept = docs.join(keepers, "row", "left_semi").groupBy("row").agg(F.first(F.struct(*COLUMNS)).alias("kept"))
+    return _columns(kept.select("kept.*"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
