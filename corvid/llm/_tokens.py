@@ -17,7 +17,7 @@ from . import _common as C
 
 #: The vocabulary file of the contract, and the ids that may end a document.
 WORD_TOKENIZER = "word_bpe_49k.json"
-#: Words a worker remembers before it starts afresh; words tokenized at once.
+#: Words a worker remembers before it starts afresh (a chunk with more holds all of its own); words tokenized at once.
 REMEMBERED, RUN = 2 << 20, 512
 
 _MARK, _PLAIN = np.zeros(256, bool), np.zeros(256, bool)
@@ -66,8 +66,6 @@ class WordIds:
         return np.concatenate(parts), sizes
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        if len(self.hashes) + len(hashes) > REMEMBERED:
-            self._forget()
         ids, sizes = self._encode(words)
         where = np.searchsorted(self.hashes, hashes)
         self.slot = np.insert(self.slot, where, len(self.at) - 1 + np.arange(len(sizes)))
@@ -104,10 +102,13 @@ class WordIds:
             return np.zeros(0, np.uint32), np.zeros(len(offs), np.int64)
         distinct, one, back = np.unique(C.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         slot, known = self._find(distinct)
-        while not known.all():  # a second time only if it started afresh meanwhile
+        if not known.all():
+            if len(self.hashes) + np.count_nonzero(~known) > REMEMBERED:  # afresh: this chunk's words, however many, and no others
+                self._forget()
+                known[:] = False
             new = one[~known]
             self._learn(distinct[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            slot, known = self._find(distinct)
+            slot, _ = self._find(distinct)
         slot = slot[back]
         size = self.at[slot + 1] - self.at[slot]
         end = np.cumsum(size)
