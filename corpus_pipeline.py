@@ -52,11 +52,12 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them (0 to 2 times); the one at a source's cut whole or not at all, whichever is nearer."""
-    docs = _columns(docs)
-    mixed = source_mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    times = docs.join(mixed, docs["doc_id"].eqNullSafe(mixed["doc_id"])).drop(mixed["doc_id"])
-    return _columns(times.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))))
+    """Rows as often as the mix takes them (0 to 2 times each); the one at a source's cut whole or not at all, whichever is nearer."""
+    docs = _columns(docs).withColumn("row", F.xxhash64(*COLUMNS))
+    # Rows that are equal in all columns share a hash: what they are taken together is taken of one.
+    mixed = source_mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=("row",)).groupBy("row").agg(F.sum("copies").cast("int").alias("copies")).where("copies > 0")
+    times = docs.join(mixed, "row").groupBy("row", "copies").agg(F.first(F.struct(*COLUMNS)).alias("kept"))
+    return _columns(times.select("kept.*", F.explode(F.sequence(F.lit(1), F.col("copies")))))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,8 +54,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return t.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.least(F.col("most"), F.col("level") * F.col("weight"))).alias("target"))
 
 
-def sampled(docs: DataFrame, seed: int, weights: tuple[float, ...], share: float, epochs: int) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, copies, for each row of doc_id, source, size, quality_weight."""
+def sampled(docs: DataFrame, seed: int, weights: tuple[float, ...], share: float, epochs: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source, source_size, target, taken, copies (and what is carried), for each row of doc_id, source, size, quality_weight."""
     buckets = max(BUCKETS, 4 * C.partitions(docs.sparkSession))
     # u in (0, 1) from 52 bits of a hash; the key's bucket is monotone in the key.
     u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
@@ -70,14 +70,14 @@ def sampled(docs: DataFrame, seed: int, weights: tuple[float, ...], share: float
         F.greatest(F.lit(0.0), F.round(F.col("target") - whole * F.col("source_size"), 6)).alias("rest"),
     )
     # Running size within the bucket, then what the buckets before it hold.
-    run = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum("size").over(Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1))
     ordered = base.withColumn("run", F.coalesce(run, F.lit(0)))
     joined = ordered.join(plan, ordered["source"].eqNullSafe(plan["s"]) & (ordered["bucket"] == plan["b"]))
     part = F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), F.col("rest") - F.col("bucket_before") - F.col("run")))
     more = F.round(part).cast("long")
     taken = F.least(F.col("epochs") * F.col("size") + more, F.lit(epochs) * F.col("size"))
     copies = F.least(F.lit(epochs), F.col("epochs") + F.when(F.col("size") > 0, (part * 2 >= F.col("size")).cast("long")).otherwise(0))
-    return joined.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), copies.cast("int").alias("copies"))
+    return joined.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), copies.cast("int").alias("copies"), *carry)
 
 
 def label_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -87,8 +87,8 @@ def label_weights(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(best, docs["doc_id"] == best["_id"], "left").withColumn("quality_weight", weight).drop("_id", "_q")
 
 
-def mix(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", seed: int = 20240, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, size, source_size, target, taken (and source, copies) for each row.
+def mix(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "source", seed: int = 20240, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken (and source, copies, columns to carry) for each row.
 
     size counts the words of the whole text (null: 0). Sources stand in order of code
     points, null last; an empty string is a source like any other. taken is the number of
@@ -97,8 +97,8 @@ def mix(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "s
     target 0. Rows that repeat a doc_id are separate documents with the same key. A
     null doc_id draws one key for all its rows. An empty table gives an empty result.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
-    return sampled(label_weights(slim, labels), seed, weights, share, epochs)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *carry)
+    return sampled(label_weights(slim, labels), seed, weights, share, epochs, carry)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
