@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are hashed at once; bounds the arrays of a Python worker.
@@ -110,8 +111,6 @@ def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 # ---------------------------------------------------------------- hashes
 
-_RNG = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: dict[str, np.ndarray] = {}
@@ -153,6 +152,49 @@ def range_hash(prefix: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return (prefix[hi] - prefix[lo]) * _powers("down", len(prefix))[lo]
 
 
+#: Longer words are hashed and compared one by one.
+LONG = 64
+_LANES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each byte, zeros after the end."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+
+
+def _lane(windows: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as a number; what stands after the next ``left`` bytes counts as zero."""
+    return np.ascontiguousarray(windows[at]).view("<u8").reshape(-1) & _LANES[np.minimum(left, 8)]
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes and length."""
-    return mix(range_hash(prefix_hash(_BYTE[data]), starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each word: its length and bytes, eight at a time through mix; XXH3 for words of over LONG bytes.
+
+    Equal words have equal hashes. Different ones may share a hash, so what decides a result compares the words too.
+    """
+    size = ends - starts
+    h, windows = mix(size.astype(np.uint64) + _BASE), _windows(data)
+    for k in range(0, LONG, 8):
+        some = np.flatnonzero((size > k) & (size <= LONG))
+        if not len(some):
+            break
+        h[some] = mix(h[some] ^ _lane(windows, starts[some] + k, size[some] - k))
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
+    return h
+
+
+def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Whether each word data[starts:ends] has the bytes of other[at:stop]."""
+    size = ends - starts
+    same = size == stop - at
+    here, there = _windows(data), _windows(other)
+    for k in range(0, LONG, 8):
+        some = np.flatnonzero(same & (size > k) & (size <= LONG))
+        if not len(some):
+            break
+        left = size[some] - k
+        same[some] = _lane(here, starts[some] + k, left) == _lane(there, at[some] + k, left)
+    for i in np.flatnonzero(same & (size > LONG)).tolist():
+        same[i] = np.array_equal(data[starts[i] : ends[i]], other[at[i] : stop[i]])
+    return same

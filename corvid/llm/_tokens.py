@@ -30,7 +30,9 @@ class WordIds:
 
     A word is looked up without its last marks ('erea,' is 'erea' and ','), which are
     tokens of their own whenever they follow an ASCII letter or digit, and in lower case, as
-    the tokenizer would put it (but for texts with the start of a special token).
+    the tokenizer would put it (but for texts with the start of a special token). Words are
+    looked up by hash and compared byte by byte; one that shares the hash of another is
+    remembered by its spelling.
     """
 
     def __init__(self, name: str, plain_specials: bool = False):
@@ -45,6 +47,9 @@ class WordIds:
         self.slot = np.zeros(0, np.int64)
         self.at = np.zeros(1, np.int64)  # of each slot in flat
         self.flat = np.zeros(0, np.uint32)
+        self.spelled_at = np.zeros(1, np.int64)  # of each slot in spelled
+        self.spelled = np.zeros(0, np.uint8)
+        self.twins: dict[bytes, int] = {}  # slots of words whose hash another word has
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words, and how many each has."""
@@ -65,13 +70,32 @@ class WordIds:
         sizes[:] = [len(x) for x in parts]
         return np.concatenate(parts), sizes
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        ids, sizes = self._encode(words)
-        where = np.searchsorted(self.hashes, hashes)
-        self.slot = np.insert(self.slot, where, len(self.at) - 1 + np.arange(len(sizes)))
-        self.hashes = np.insert(self.hashes, where, hashes)
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        """New slots for words."""
+        ids, sizes = self._encode([w.decode("utf-8", "replace") for w in words])
+        slots = len(self.at) - 1 + np.arange(len(sizes))
         self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
         self.flat = np.concatenate([self.flat, ids])
+        self.spelled_at = np.concatenate([self.spelled_at, self.spelled_at[-1] + np.cumsum([len(w) for w in words])])
+        self.spelled = np.concatenate([self.spelled, np.frombuffer(b"".join(words), np.uint8)])
+        return slots
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        slots = self._add(words)
+        where = np.searchsorted(self.hashes, hashes)
+        self.slot = np.insert(self.slot, where, slots)
+        self.hashes = np.insert(self.hashes, where, hashes)
+
+    def _checked(self, slot: np.ndarray, data: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """slot, with those of words that are spelled differently put right."""
+        odd = np.flatnonzero(~C.same_words(data, starts, ends, self.spelled, self.spelled_at[slot], self.spelled_at[slot + 1]))
+        if len(odd):
+            words = [raw[a:b] for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True)]
+            new = [w for w in dict.fromkeys(words) if w not in self.twins]
+            if new:
+                self.twins |= zip(new, self._add(new).tolist(), strict=True)
+            slot[odd] = [self.twins[w] for w in words]
+        return slot
 
     def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.hashes):
@@ -103,13 +127,13 @@ class WordIds:
         distinct, one, back = np.unique(C.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
         slot, known = self._find(distinct)
         if not known.all():
-            if len(self.hashes) + np.count_nonzero(~known) > REMEMBERED:  # afresh: this chunk's words, however many, and no others
+            if len(self.at) - 1 + np.count_nonzero(~known) > REMEMBERED:  # afresh: this chunk's words, however many, and no others
                 self._forget()
                 known[:] = False
             new = one[~known]
-            self._learn(distinct[~known], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            self._learn(distinct[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             slot, _ = self._find(distinct)
-        slot = slot[back]
+        slot = self._checked(slot[back], data, raw, starts, ends)
         size = self.at[slot + 1] - self.at[slot]
         end = np.cumsum(size)
         # Position in flat of every id: its word's place plus the offset in the word.
