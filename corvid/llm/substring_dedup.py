@@ -1,24 +1,25 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-A suffix starts at a word and is cut after ``window`` words: only inner nodes at that
-depth matter, as a node there with several leaves is a repeated passage and runs of such
-nodes are the maximal repeats.
-
-1. ``_prefix_counts`` counts, over all texts, the suffixes below each prefix of 1, 2, 4
-   and 8 words (hashed to a fixed number of buckets). A suffix goes to the shortest of
-   its prefixes below which at most one group's worth of suffixes stands, so common
-   words get long prefixes and rare words short ones, and every group fits in memory.
-2. Documents are dealt into blobs by doc_id, once; all later steps reuse that exchange.
-   A blob keeps one leaf for each distinct suffix, with the smallest doc_id, so a passage
-   that stands in a third of all rows sends one row for each blob, not for each row.
-3. An exact sieve saves most of the shuffle: each window has a local minimum among the
-   hashes of its 6-word grams (equal windows have equal minima), and only windows
-   whose minimum occurs in at least two blobs go on.
-4. Each prefix group builds its subtree: leaves sorted by path, nodes at full depth found
-   between neighbours, each with its smallest doc_id. Blobs hear which of their leaves
-   hang on a node with a smaller document; the words of those windows go.
-
-Paths are compared by 32 + 64 hash bits (prefix and rest); words are never truncated.
+A suffix starts at a word and is cut after ``window`` words: inner nodes at that depth with
+several leaves are repeated passages, and runs of such nodes are the maximal repeats.
+
+1. Documents are dealt into blobs, once; all later steps reuse that exchange. Each window
+   has an anchor: the first of its 6-word grams with the smallest hash. Equal windows have
+   equal anchors at equal places, so suffixes are indexed only where an anchor starts, with
+   the words before it that its windows reach (a sparse suffix tree): about one suffix for
+   every four windows. Anchors that occur in one document alone have no repeats and go.
+2. Variable-length prefixes split the suffixes into groups. A gram below which at most
+   ``GROUP`` suffixes stand is a group by itself. Under a more frequent one each window is a
+   suffix of its own and its whole path of ``window`` words is the prefix, so such a group
+   is one node and is read as a stream. A blob sends each distinct suffix once, with its
+   smallest doc_id.
+3. A task sorts its groups on disk and holds a few whole ones at a time. In each, suffixes
+   stand in the order of their words, and the common prefix of neighbours gives the inner
+   nodes at every depth; the words before the anchors, read backward, form a second tree. A
+   window that starts d words before its anchor is a node at depth ``window`` - d of the one
+   and at depth d of the other. Words are compared by their bytes, so no hash decides.
+4. Blobs hear which windows of which leaf hang on a node with a smaller document; the words
+   of those windows go.
 """
 
 from __future__ import annotations
@@ -28,173 +29,277 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _common as C
 
-#: Words in a window; lengths of the prefixes that split suffixes; words in a sieve gram.
-WINDOW, PREFIXES, GRAM = 13, (1, 2, 4, 8), 6
-#: Most suffixes below one prefix: what a task sorts in memory.
-GROUP_SUFFIXES = 1 << 20
+#: Words in a window and in an anchor's gram.
+WINDOW, GRAM = 13, 6
+#: Most suffixes below one gram; suffixes whose trees are built at once, about.
+GROUP, BUILD = 1 << 17, 1 << 15
 #: Text of a blob, in bytes of the input's estimated size.
 BLOB_BYTES = 4 << 20
-#: Buckets in one array of counts, and groups in which the tasks' arrays are first added.
-SLICE, SPREAD = 512, 32
 _NULL_ID = np.iinfo(np.int64).max
 
+_ANCHORS = "anchor long, blob int, n int"
+_LEAVES = "prefix long, words binary, before int, blob int, leaf int, low long"
+
 
 class _Words:
-    """Words, windows and path hashes of some rows of text."""
+    """Words, windows and anchors of some rows of text."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, window: int):
+        self.data = data
         self.starts, self.ends, self.first = C.word_spans(data, offs)
-        self.window = window
-        self.prefix = C.prefix_hash(C.word_hashes(data, self.starts, self.ends))
+        self.window, self.gram = window, min(GRAM, window)
         counts = np.diff(self.first)
         self.row = np.repeat(np.arange(len(counts)), counts)
-        last = np.repeat(self.first[1:], counts)
-        self.at = np.flatnonzero(np.arange(len(self.row)) + window <= last)  # where windows start
-
-    def path(self, lo: np.ndarray, n: int) -> np.ndarray:
-        return C.mix(C.range_hash(self.prefix, lo, lo + n))
-
-    def minima(self) -> np.ndarray:
-        """For each window, the smallest hash among its grams of GRAM words."""
-        gram = min(GRAM, self.window)
-        width = self.window - gram + 1
-        n = len(self.prefix) - gram
-        if n <= 0 or not len(self.at):
-            return np.zeros(0, np.uint64)
-        low = self.path(np.arange(n), gram)
-        done = 1
+        self.at = np.flatnonzero(np.arange(len(self.row)) + window <= np.repeat(self.first[1:], counts))  # where windows start
+        self.grams = np.zeros(0, np.uint64)
+        if len(self.at):
+            prefix = C.prefix_hash(C.word_hashes(data, self.starts, self.ends))
+            lo = np.arange(len(prefix) - self.gram)
+            self.grams = C.mix(C.range_hash(prefix, lo, lo + self.gram))
+            self.anchor = self._anchors()[self.at]
+
+    def _anchors(self) -> np.ndarray:
+        """For each word, where the first smallest gram of the window that starts there begins."""
+        best, low, width, done = np.arange(len(self.grams)), self.grams, self.window - self.gram + 1, 1
         while done < width:
             step = min(done, width - done)
-            low[: n - step] = np.minimum(low[: n - step], low[step:])
+            after, its = best[step:], low[step:]
+            take = its < low[: len(its)]
+            best, low = best.copy(), low.copy()
+            best[: len(its)][take], low[: len(its)][take] = after[take], its[take]
             done += step
-        return low[self.at]
-
-
-def _buckets(words: _Words, at: np.ndarray, length: int, n: int) -> np.ndarray:
-    return (words.path(at, length) >> np.uint64(20)).astype(np.int64) & (n - 1)
-
-
-def _prefix_counts(docs: DataFrame, text: str, window: int, buckets: int) -> np.ndarray:
-    """Suffixes of all texts below each hashed prefix, by level and bucket; added up slice by slice."""
-    levels = [x for x in PREFIXES if x < window]
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((len(levels), buckets), np.int64)
-        for batch in batches:
-            data, offs = C.text_buffer(batch.column(0))
-            for i, j in C.row_slices(offs):
-                words = _Words(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], window)
-                for k, length in enumerate(levels):
-                    n[k] += np.bincount(_buckets(words, words.at, length, buckets), minlength=buckets)
-        at = TaskContext.get().partitionId() % SPREAD
-        for k in range(0, buckets, SLICE):
-            part = np.ascontiguousarray(n[:, k : k + SLICE])
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["slice", "spread", "counts"])
-
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-        return pa.table({"slice": table.column("slice")[:1], "spread": pa.array([0], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "slice int, spread int, counts binary"
-    counted = docs.select(text).mapInArrow(count, schema).groupBy("slice", "spread").applyInArrow(add, schema).groupBy("slice").applyInArrow(add, schema)
-    out = np.zeros((len(levels), buckets), np.int64)
-    for r in counted.collect():  # one array of levels x buckets in all, whatever the corpus
-        out[:, r.slice : r.slice + SLICE] = np.frombuffer(bytes(r.counts), np.int64).reshape(len(levels), -1)
-    return out
-
-
-def _sorted_rows(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
-    """A blob's rows by doc_id (null last), and those ids."""
-    ids = table.column("doc_id").to_numpy(zero_copy_only=False) if not table.column("doc_id").null_count else table.column("doc_id").fill_null(_NULL_ID).to_numpy()
-    order = np.argsort(ids, kind="stable")
-    return table.take(pa.array(order)), ids[order].astype(np.int64)
+        return best
+
+    def runs(self, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first window, last window, anchor), as word numbers, of the runs of windows that share an anchor (one whose hash is in near)."""
+        if not len(self.at):
+            return (np.zeros(0, np.int64),) * 3
+        new = np.flatnonzero(np.r_[True, (self.anchor[1:] != self.anchor[:-1]) | (self.row[self.at][1:] != self.row[self.at][:-1])])
+        last = np.r_[new[1:], len(self.at)] - 1
+        if near is not None:
+            held = _member(self.grams[self.anchor[new]], near)
+            new, last = new[held], last[held]
+        return self.at[new], self.at[last], self.anchor[new]
+
+    def spelled(self, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        """The words lo to hi (exclusive) of each pair, joined by single spaces."""
+        n = hi - lo
+        upto = np.cumsum(n)
+        word = np.repeat(lo - (upto - n), n) + np.arange(int(upto[-1]) if len(upto) else 0)
+        size = self.ends[word] - self.starts[word] + 1
+        end = np.cumsum(size)
+        place = np.repeat(self.starts[word] - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
+        text = np.append(self.data, np.uint8(0x20))[np.minimum(place, len(self.data))]
+        text[end - 1] = 0x20
+        cut = np.r_[0, end][np.r_[0, upto]]
+        return pa.Array.from_buffers(pa.large_binary(), len(lo), [None, pa.py_buffer(cut.astype(np.int64).tobytes()), pa.py_buffer(text.tobytes())])
 
 
 class _Blob:
-    """All windows of a blob: path hash and document of each, in order of doc_id."""
+    """A blob's rows by doc_id (null last), a chunk of text at a time."""
 
     def __init__(self, table: pa.Table, window: int):
-        self.rows, self.ids = _sorted_rows(table)
-        self.data, self.offs = C.text_buffer(self.rows.column("text"))
-        self.parts = []
+        ids = table.column("doc_id").fill_null(_NULL_ID).to_numpy() if table.column("doc_id").null_count else table.column("doc_id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.window = ids[order].astype(np.int64), window
+        self.doc_id = table.column("doc_id").take(pa.array(order)).combine_chunks()
+        self.data, self.offs = C.text_buffer(table.column("text").take(pa.array(order)))
+        self.number = table.column("blob")[0].as_py()
+
+    def parts(self) -> Iterator[tuple[int, int, _Words]]:
         for i, j in C.row_slices(self.offs):
-            self.parts.append((i, j, _Words(self.data[self.offs[i] : self.offs[j]], self.offs[i : j + 1] - self.offs[i], window)))
-
-    def over(self, f) -> np.ndarray:
-        got = [f(i, w) for i, _, w in self.parts]
-        return np.concatenate(got) if got else np.zeros(0, np.uint64)
-
-    def docs(self) -> np.ndarray:
-        """doc_id of each window's document."""
-        return self.over(lambda i, w: self.ids[i + w.row[w.at]]).astype(np.int64)
-
-
-def _leaf(words: _Words, at: np.ndarray, hot: list[np.ndarray], levels: list[int], buckets: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(prefix hash, hash of the rest) of each suffix under its own prefix length."""
-    prefix, rest = C.mix(words.path(at, window) + np.uint64(window)), words.path(at + 1, window - 1)  # hot down to the leaf
-    open_ = np.ones(len(at), bool)
-    for k, length in enumerate(levels):
-        cold = open_ & ~hot[k][_buckets(words, at, length, buckets)]
-        i = at[cold]
-        prefix[cold] = C.mix(words.path(i, length) + np.uint64(length))
-        rest[cold] = words.path(i + length, window - length)
-        open_ &= ~cold
-    return (prefix >> np.uint64(32)).astype(np.uint32).view(np.int32), rest.view(np.int64)
-
+            yield i, j, _Words(self.data[self.offs[i] : self.offs[j]], self.offs[i : j + 1] - self.offs[i], self.window)
+
+    def anchors(self) -> pa.Table:
+        """Each anchor of the blob and how many suffixes it has, as a negative number if all are of one document."""
+        hashes, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for i, _, w in self.parts():
+            lo, _, anchor = w.runs()
+            if len(lo):
+                hashes.append(w.grams[anchor])
+                docs.append(self.ids[i + w.row[lo]])
+        h, d = np.concatenate(hashes), np.concatenate(docs)
+        order = np.argsort(h, kind="stable")  # rows stand by doc_id
+        h, d = h[order], d[order]
+        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]][: len(h)])
+        last = np.r_[new[1:], len(h)][: len(new)] - 1
+        n = np.where(d[new] == d[last], -1, 1) * (last - new + 1)
+        return pa.table({"anchor": h[new].view(np.int64), "blob": np.full(len(new), self.number, np.int32), "n": n.astype(np.int32)})
+
+    def leaves(self, anchors: pa.Table) -> tuple[pa.Table, list[tuple]]:
+        """(distinct leaves in order, and for each part its runs: first window, last window, leaf of the first one, leaves a run has).
+
+        A run under a frequent anchor (n < 0) has a leaf for each window, any other one leaf in all.
+        """
+        order = np.argsort(anchors.column("anchor").to_numpy().view(np.uint64))
+        near, often = anchors.column("anchor").to_numpy().view(np.uint64)[order], anchors.column("n").to_numpy()[order] < 0
+        words, before, prefix, low, held = [], [], [], [], []
+        for i, _, w in self.parts():
+            lo, hi, anchor = w.runs(near)
+            single = often[np.searchsorted(near, w.grams[anchor])] if len(lo) else np.zeros(0, bool)
+            n = np.where(single, hi - lo + 1, 1)
+            end = np.cumsum(n)
+            first = np.repeat(lo, n) + np.where(np.repeat(single, n), np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - n, n), 0)
+            stop = np.where(np.repeat(single, n), first, np.repeat(hi, n)) + self.window
+            held.append((lo, hi, n, single))
+            words.append(w.spelled(first, stop))
+            before.append(np.where(np.repeat(single, n), -1, np.repeat(anchor, n) - first))
+            prefix.append(np.repeat(w.grams[anchor], n) if len(lo) else np.zeros(0, np.uint64))
+            low.append(self.ids[i + w.row[first]] if len(first) else np.zeros(0, np.int64))
+        text = pa.concat_arrays(words).cast(pa.large_binary()) if words else pa.array([], pa.large_binary())
+        back, prior = np.concatenate([*before, np.zeros(0, np.int64)]), np.concatenate([*prefix, np.zeros(0, np.uint64)])
+        # One leaf for each distinct (words, words before); the first row has the smallest document.
+        coded = text.dictionary_encode()
+        code = coded.indices.to_numpy().astype(np.int64) * (self.window + 2) + back + 1
+        distinct, one, of = np.unique(code, return_index=True, return_inverse=True)
+        rank = np.empty(len(distinct), np.int64)  # by their words, so that it does not depend on the order of rows
+        spelled = text.take(pa.array(one))
+        by = pc.sort_indices(pa.table({"w": spelled, "b": back[one]}), sort_keys=[("w", "ascending"), ("b", "ascending")]).to_numpy()
+        rank[by] = np.arange(len(by))
+        docs = np.concatenate([*low, np.zeros(0, np.int64)])
+        table = pa.table({"words": spelled.take(pa.array(by)), "before": back[one][by], "anchor": prior[one][by], "low": docs[one][by]})
+        leaf, out, at = rank[of], [], 0
+        for lo, hi, n, single in held:
+            out.append((lo, hi, n, single, leaf[at : at + int(n.sum())], docs[at : at + int(n.sum())]))
+            at += int(n.sum())
+        return table, out
 
-def _key(prefix: np.ndarray, rest: np.ndarray) -> np.ndarray:
-    return C.mix(rest.view(np.uint64) + prefix.view(np.uint32).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
-
-def _anchors(table: pa.Table, window: int) -> pa.Table:
-    blob = _Blob(table, window)
-    low = np.unique(blob.over(lambda i, w: w.minima()).astype(np.uint64))
-    at = table.column("blob")[0].as_py()
-    return pa.table({"anchor": low.view(np.int64), "blob": np.full(len(low), at, np.int32)})
-
-
-def _held(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    """A whole partition's columns."""
-    got = [[b.column(n).to_numpy(zero_copy_only=False) for n in names] for b in batches if b.num_rows]
-    return [np.concatenate(x) for x in zip(*got, strict=True)] if got else []
+def _member(values: np.ndarray, within: np.ndarray) -> np.ndarray:
+    if not len(within):
+        return np.zeros(len(values), bool)
+    return within[np.minimum(np.searchsorted(within, values), len(within) - 1)] == values
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Iterator[pa.Table]:
+    """Whole groups of equal keys, in sorted batches, some at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
+        if cut == 0 and held and held[-1].column(key)[-1].as_py() == k[0]:
+            held.append(b)
+            rows += b.num_rows
+            continue
+        if rows + cut >= least:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held, rows = [b.slice(cut)], b.num_rows - cut
+        else:
+            held += [b.slice(0, cut), b.slice(cut)]
+            rows += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.to_batches(max_chunksize=100_000)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors that occur in two blobs or more."""
-    held = _held(batches, ["anchor", "blob"])
-    if held:
-        anchor, blob = held
-        order = np.argsort(anchor)
-        anchor, blob = anchor[order], blob[order]
-        same = anchor[1:] == anchor[:-1]
-        keep = np.zeros(len(anchor), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        yield from _batches(pa.table({"anchor": anchor[keep], "blob": blob[keep]}))
-
-
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Subtrees of the partition's prefixes: leaves that hang, at full depth, on a node with a smaller doc_id."""
-    held = _held(batches, ["prefix", "rest", "blob", "low"])
-    if held:
-        prefix, rest, blob, low = held
-        order = np.lexsort((rest, prefix))  # depth-first order of the leaves
-        prefix, rest, blob, low = prefix[order], rest[order], blob[order], low[order]
-        node = np.flatnonzero(np.r_[True, (prefix[1:] != prefix[:-1]) | (rest[1:] != rest[:-1])])
-        leaves = np.diff(np.r_[node, len(prefix)])
-        later = low > np.repeat(np.minimum.reduceat(low, node), leaves)
-        key = _key(prefix[later], rest[later])
-        yield from _batches(pa.table({"key": key.view(np.int64), "blob": blob[later]}))
+def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Anchors with two suffixes or more, of two documents; n is negative where there are more than ``most``. A group has a row for each blob at most."""
+    for t in _groups(batches, "anchor", 1 << 16):
+        anchor, n = t.column("anchor").to_numpy(), t.column("n").to_numpy()
+        new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+        blobs = np.diff(np.r_[new, len(anchor)])
+        total = np.repeat(np.add.reduceat(np.abs(n.astype(np.int64)), new), blobs)
+        keep = np.repeat((blobs > 1) | (n[new] > 0), blobs)
+        yield from _batches(pa.table({"anchor": anchor[keep], "blob": t.column("blob").to_numpy()[keep], "n": np.where(total > most, -1, 1)[keep].astype(np.int32)}))
+
+
+class Tree:
+    """Paths (rows of word numbers, -1 where a path ends) of some groups in depth-first order; node(k): each path's node at depth k."""
+
+    def __init__(self, group: np.ndarray, paths: np.ndarray):
+        order = np.lexsort((*paths.T[::-1], group))
+        apart = paths[order][1:] != paths[order][:-1]
+        #: Words that neighbours have in common; -1 where a group ends.
+        self.common = np.where(apart.any(axis=1), apart.argmax(axis=1), paths.shape[1])
+        self.common[group[order][1:] != group[order][:-1]] = -1
+        self.order = order
+
+    def node(self, depth: int) -> np.ndarray:
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(np.r_[True, self.common < depth]) - 1
+        return out
+
+
+def _paths(words: pa.Array, before: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words from the anchor on, words before it read backward, number of words from the anchor on) of each leaf; words are numbered in byte order."""
+    data, offs = C.text_buffer(words.cast(pa.large_binary()).view(pa.large_string()))
+    starts, ends, first = C.word_spans(data, offs)
+    # A word with its space; all distinct ones numbered.
+    spans = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data)).astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+    coded = spans.dictionary_encode()
+    number = np.empty(len(coded.dictionary), np.int32)
+    number[pc.sort_indices(coded.dictionary).to_numpy()] = np.arange(len(number), dtype=np.int32)
+    ids = np.append(number[coded.indices.to_numpy()], np.int32(-1))
+    head = first[:-1] + np.maximum(before, 0)
+    on = first[1:] - head
+    k = np.arange(window)
+    forth = ids[np.where(k < on[:, None], head[:, None] + k, len(ids) - 1)]
+    k = np.arange(1, window - min(GRAM, window) + 1)
+    back = ids[np.where(k <= before[:, None], head[:, None] - k, len(ids) - 1)]
+    return forth, back, on
+
+
+def subtrees(group: np.ndarray, words: pa.Array, before: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
+    """For each leaf a bit d for each of its windows (d words before the anchor) that hangs on a node with a smaller document."""
+    forth, back, on = _paths(words, before, window)
+    right, left = Tree(group, forth), Tree(group, back)
+    late = np.zeros(len(low), np.int64)
+    for d in range(back.shape[1] + 1):
+        has = np.flatnonzero((np.maximum(before, 0) >= d) & (on >= window - d))
+        if len(has):
+            node = right.node(window - d)[has] * (len(low) + 1) + left.node(d)[has]
+            order = np.argsort(node, kind="stable")
+            new = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]])
+            least = np.repeat(np.minimum.reduceat(low[has][order], new), np.diff(np.r_[new, len(order)]))
+            late[has[order]] |= (low[has][order] > least).astype(np.int64) << d
+    return late
+
+
+def _late(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Leaves with windows that a smaller document has, from leaves sorted by prefix and document."""
+    kept: pa.Table | None = None  # of a frequent path that goes on: the first leaf of each node, its smallest document
+    for t in _groups(_split(batches), "part", BUILD):
+        own = t.num_rows
+        if kept is not None:
+            t = pa.concat_tables([kept.filter(pc.is_in(kept.column("prefix"), t.column("prefix").unique())), t.drop_columns(["part"])])
+        else:
+            t = t.drop_columns(["part"])
+        group, before, low = (t.column(c).to_numpy() for c in ("prefix", "before", "low"))
+        words = t.column("words").combine_chunks()
+        words = pa.concat_arrays(words.chunks) if isinstance(words, pa.ChunkedArray) else words
+        late = subtrees(group, words, before.astype(np.int64), low, window)
+        some = np.flatnonzero(late[-own:]) + len(late) - own
+        yield from _batches(pa.table({"blob": t.column("blob").to_numpy()[some], "leaf": t.column("leaf").to_numpy()[some], "late": late[some]}))
+        ends = np.flatnonzero((late == 0) & (before < 0) & (group == group[-1]))
+        kept = t.take(pa.array(ends)).combine_chunks() if len(ends) else None
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches with part: a number for each group, and a new one after BUILD rows of a frequent path."""
+    part, last, rows = 0, None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        prefix, often = b.column("prefix").to_numpy(), b.column("before").to_numpy() < 0
+        new = np.r_[prefix[0] != last, prefix[1:] != prefix[:-1]]
+        rows = 0 if new[0] else rows
+        if not new.any() and often[0] and rows >= BUILD:
+            new[0], rows = True, 0
+        numbers = part + np.cumsum(new)
+        part, last, rows = int(numbers[-1]), prefix[-1], rows + b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(numbers)], [*b.schema.names, "part"])
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, texts: bool = True) -> DataFrame:
@@ -211,83 +316,74 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", win
     """
     spark = docs.sparkSession
     blobs = max(4 * C.partitions(spark), min(C.plan_bytes(docs) // BLOB_BYTES, 1 << 22))
-    slots = 1 << max(12, min(20, (blobs - 1).bit_length() + 4))
-    levels = [x for x in PREFIXES if x < window]
-    counts = _prefix_counts(docs, text, window, slots)
-    limit = max(1, min(GROUP_SUFFIXES, int(counts[:1].sum()) // (4 * C.partitions(spark))))
-    hot = [x > limit for x in counts]
-
-    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select(F.pmod(F.xxhash64("doc_id"), F.lit(blobs)).cast("int").alias("blob"), "doc_id", "text")
-    anchors = dealt.groupBy("blob").applyInArrow(lambda t: _anchors(t, window), "anchor long, blob int").repartition("anchor").mapInArrow(_shared, "anchor long, blob int")
+    # By id and text, so that rows without an id, or with one id, are spread too.
+    dealt = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blobs)).cast("int").alias("blob"), "doc_id", "text")
+    found = dealt.groupBy("blob").applyInArrow(lambda t: _Blob(t, window).anchors(), _ANCHORS)
+    anchors = found.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _shared(b, GROUP), _ANCHORS)
 
     def leaves(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts: list[list[np.ndarray]] = [[], [], []]
-        if left.num_rows and right.num_rows:
-            blob = _Blob(left, window)
-            near = np.sort(right.column("anchor").to_numpy().view(np.uint64))
-            for i, _, w in blob.parts:
-                at = w.at[_member(w.minima(), near)]
-                if len(at):
-                    p, r = _leaf(w, at, hot, levels, slots, window)
-                    for held, x in zip(parts, (p, r, blob.ids[i + w.row[at]]), strict=True):
-                        held.append(x)
-        if not parts[0]:
-            return pa.table({"prefix": pa.array([], pa.int32()), "rest": pa.array([], pa.int64()), "blob": pa.array([], pa.int32()), "low": pa.array([], pa.int64())})
-        p, r, d = (np.concatenate(x) for x in parts)
-        order = np.lexsort((d, r, p))
-        p, r, d = p[order], r[order], d[order]
-        one = np.r_[True, (p[1:] != p[:-1]) | (r[1:] != r[:-1])]
-        return pa.table({"prefix": p[one], "rest": r[one], "blob": np.full(int(one.sum()), left.column("blob")[0].as_py(), np.int32), "low": d[one]})
-
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        blob = _Blob(left, window) if left.num_rows else None
-        return _cut(blob, np.sort(right.column("key").to_numpy().view(np.uint64)) if right.num_rows else np.zeros(0, np.uint64), hot, levels, slots, window, texts)
-
-    tree = (
-        dealt.groupBy("blob").cogroup(anchors.groupBy("blob")).applyInArrow(leaves, "prefix int, rest long, blob int, low long")
-        .repartition("prefix").mapInArrow(_nodes, "key long, blob int")
-    )
+        blob = _Blob(left, window)
+        table, _ = blob.leaves(right)
+        # A frequent path is its own prefix; any other group is a gram's.
+        whole = table.column("before").to_numpy() < 0
+        prefix = table.column("anchor").to_numpy().copy()
+        if whole.any():
+            paths = table.column("words").combine_chunks()
+            data, offs = C.text_buffer(paths.view(pa.large_string()) if isinstance(paths, pa.Array) else pa.concat_arrays(paths.chunks).view(pa.large_string()))
+            prefix[whole] = C.mix(C.word_hashes(data, offs[:-1], offs[1:])[whole] + np.uint64(1))
+        n = table.num_rows
+        return pa.table({"prefix": prefix.view(np.int64), "words": table.column("words").cast(pa.binary()), "before": table.column("before").cast(pa.int32()), "blob": np.full(n, blob.number, np.int32), "leaf": np.arange(n, dtype=np.int32), "low": table.column("low")})
+
+    def cut(left: pa.Table, right: pa.Table, late: pa.Table) -> pa.Table:
+        return _cut(_Blob(left, window), right, late, texts)
+
+    by_blob = dealt.groupBy("blob").cogroup(anchors.groupBy("blob"))
+    tree = by_blob.applyInArrow(lambda left, right: leaves(left, right) if left.num_rows else _none(_LEAVES), _LEAVES)
+    tree = tree.repartition("prefix").sortWithinPartitions("prefix", "low").mapInArrow(lambda b: _late(b, window), "blob int, leaf int, late long")
+    # The blob's anchors and what the trees say of its leaves, told apart by n.
+    told = anchors.select("blob", "anchor", "n", F.lit(0).cast("long").alias("late")).union(tree.select("blob", F.col("leaf").cast("long"), F.lit(0), "late"))
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _none(schema)
+        is_anchor = np.asarray(right.column("n").to_numpy() != 0)
+        return cut(left, right.filter(pa.array(is_anchor)), right.filter(pa.array(~is_anchor)))
+
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<struct<start:long,end:long>>" * texts
-    return dealt.groupBy("blob").cogroup(tree.groupBy("blob")).applyInArrow(cut, schema)
+    return dealt.groupBy("blob").cogroup(told.groupBy("blob")).applyInArrow(finish, schema)
 
 
-def _member(values: np.ndarray, within: np.ndarray) -> np.ndarray:
-    if not len(within):
-        return np.zeros(len(values), bool)
-    i = np.searchsorted(within, values)
-    i[i == len(within)] = 0
-    return within[i] == values
+def _none(schema: str) -> pa.Table:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    fields = [x.split(" ") for x in schema.replace("array<struct<start:long,end:long>>", "spans").split(", ")]
+    return pa.table({n: pa.array([], kinds.get(t, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))) for n, t in fields})
 
 
-def _cut(blob: _Blob | None, keys: np.ndarray, hot, levels, slots: int, window: int, texts: bool) -> pa.Table:
+def _cut(blob: _Blob, anchors: pa.Table, late: pa.Table, texts: bool) -> pa.Table:
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text", "removed"] * texts
     out: dict[str, list] = {n: [] for n in names}
-    if blob is not None:
-        # Within the blob: rows stand by doc_id, so a path's first window has its smallest document.
-        path, doc = blob.over(lambda i, w: w.path(w.at, window)).astype(np.uint64), blob.docs()
-        order = np.argsort(path, kind="stable")
-        node = np.flatnonzero(np.r_[True, path[order][1:] != path[order][:-1]]) if len(path) else np.zeros(0, int)
-        low = np.repeat(doc[order][node], np.diff(np.r_[node, len(path)])) if len(path) else doc
-        late = np.zeros(len(path), bool)
-        late[order] = doc[order] > low
-        done = 0
-        for i, j, w in blob.parts:
-            gone = late[done : done + len(w.at)]
-            done += len(w.at)
-            if len(keys) and len(w.at):
-                gone = gone | _member(_key(*_leaf(w, w.at, hot, levels, slots, window)), keys)
-            edge = np.zeros(len(w.row) + 1, np.int64)
-            at = w.at[gone]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + window, -1)
-            _rows(out, blob, i, j, w, np.cumsum(edge[:-1]) > 0, texts)
-        ids = blob.rows.column("doc_id")
+    table, runs = blob.leaves(anchors)
+    told = np.zeros(table.num_rows, np.int64)
+    told[late.column("anchor").to_numpy()] = late.column("late").to_numpy()
+    low, before = table.column("low").to_numpy(), table.column("before").to_numpy()
+    for (i, j, w), (lo, hi, n, single, leaf, doc) in zip(blob.parts(), runs, strict=True):
+        # Every window of a leaf that a smaller document of this blob has, else what the trees say.
+        size = np.where(single, 1, hi - lo + 1)[np.repeat(np.arange(len(n)), n)] if len(n) else np.zeros(0, np.int64)
+        end = np.cumsum(n)
+        first = np.repeat(lo, n) + np.where(np.repeat(single, n), np.arange(int(end[-1]) if len(end) else 0) - np.repeat(end - n, n), 0)
+        upto = np.cumsum(size)
+        which = np.repeat(np.arange(len(size)), size)
+        k = np.arange(int(upto[-1]) if len(upto) else 0) - np.repeat(upto - size, size)
+        at = first[which] + k
+        d = np.maximum(before[leaf[which]], 0) - k
+        gone = (doc > low[leaf])[which] | (told[leaf[which]] >> d & 1).astype(bool)
+        edge = np.zeros(len(w.row) + 1, np.int64)
+        np.add.at(edge, at[gone], 1)
+        np.add.at(edge, at[gone] + w.window, -1)
+        _rows(out, blob, i, j, w, np.cumsum(edge[:-1]) > 0, texts)
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     cols = [pa.array(out[n], t) for n, t in zip(names, kinds, strict=False)]
-    if blob is not None:
-        cols[0] = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
-        if isinstance(cols[0], pa.ChunkedArray):
-            cols[0] = pa.concat_arrays(cols[0].chunks)
+    cols[0] = blob.doc_id if isinstance(blob.doc_id, pa.Array) else pa.concat_arrays(blob.doc_id.chunks)
     return pa.Table.from_arrays(cols, names)
 
 

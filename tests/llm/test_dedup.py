@@ -1,14 +1,16 @@
 import hashlib
+import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from corvid.llm import embedding_dedup, simhash_dedup, substring_dedup
 from corvid.llm._graph import stars
 
-from .helpers import corpus, documents
+from .helpers import corpus, documents, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,7 +44,53 @@ def test_substrings_equal_brute_force(spark, seed):
 
 def test_substrings_with_tiny_groups(spark, monkeypatch):
     rows = corpus(3)
-    monkeypatch.setattr(substring_dedup, "GROUP_SUFFIXES", 1)  # every prefix is hot: the longest decide
+    monkeypatch.setattr(substring_dedup, "GROUP", 1)  # every gram is frequent: whole paths are prefixes
+    got = substring_dedup.deduplicate(documents(spark, rows), texts=False).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute_substrings(rows)
+
+
+def test_subtrees_equal_brute_force():
+    """Leaves of several groups at every window, frequent paths read in pieces included."""
+    rng = np.random.default_rng(3)
+    window = 5
+    leaves = []
+    for k in range(300):
+        own = k % 5 == 0
+        n = window if own else int(rng.integers(window, 2 * window))
+        w = [f"w{x}" for x in rng.integers(0, 2, n)]
+        leaves.append((k % 7 if not own else 100 + k % 2, " ".join(w) + " ", -1 if own else int(rng.integers(0, min(3, n - 3))), int(rng.integers(0, 40))))
+    leaves.sort(key=lambda x: (x[0], x[3]))
+    window_of = lambda x, d: tuple(x[1].split()[max(x[2], 0) - d :][:window])
+    places = lambda x: [d for d in range(max(x[2], 0) + 1) if len(window_of(x, d)) == window]
+    low = {}
+    for x in leaves:
+        for d in places(x):
+            key = (x[0], d, window_of(x, d))
+            low[key] = min(low.get(key, 99), x[3])
+    want = {k: m for k, x in enumerate(leaves) if (m := sum(1 << d for d in places(x) if low[(x[0], d, window_of(x, d))] < x[3]))}
+    table = pa.table({"prefix": [x[0] for x in leaves], "words": pa.array([x[1].encode() for x in leaves]), "before": pa.array([x[2] for x in leaves], pa.int32()), "blob": pa.array([0] * 300, pa.int32()), "leaf": pa.array(range(300), pa.int32()), "low": [x[3] for x in leaves]})
+    held = substring_dedup.BUILD, substring_dedup.GRAM
+    substring_dedup.GRAM = 3
+    try:
+        for build, batch in ((1, 1), (2, 3), (8, 7), (1000, 64), (1000, 1000)):
+            substring_dedup.BUILD = build
+            got = {r["leaf"]: r["late"] for b in substring_dedup._late(iter(table.to_batches(max_chunksize=batch)), window) for r in b.to_pylist()}
+            assert got == want
+    finally:
+        substring_dedup.BUILD, substring_dedup.GRAM = held
+
+
+def test_suffixes_stand_in_word_order():
+    paths = np.array([[1, 2, 3], [1, 2, 4], [0, 9, 9], [1, 2, 3], [1, -1, -1], [1, 2, 3]])
+    tree = substring_dedup.Tree(np.array([0, 0, 0, 0, 0, 1]), paths)
+    assert tree.order.tolist() == [2, 4, 0, 3, 1, 5] and tree.common.tolist() == [0, 1, 3, 2, -1]
+    assert [len(set(tree.node(k).tolist())) for k in range(4)] == [2, 3, 4, 5]
+
+
+def test_rows_with_one_doc_id(spark):
+    rng = random.Random(5)
+    passage = " ".join(words(rng, 30))
+    rows = [(None, f"{passage} a{i % 3}", "en", "s") for i in range(20)] + [(4, f"x{i % 4} {passage}", "en", "s") for i in range(12)] + [(2, f"{passage} {passage}", "en", "s"), (1, " ".join(["a"] * 60), "en", "s"), (3, "b " + " ".join(["a"] * 20), "en", "s")]
     got = substring_dedup.deduplicate(documents(spark, rows), texts=False).collect()
     assert sorted((tuple(r) for r in got), key=repr) == brute_substrings(rows)
 
