@@ -51,7 +51,8 @@ def stars(edges: DataFrame) -> DataFrame:
         large = both.withColumnRenamed("a", "u").join(_low(both, "a", "b"), "u").where("b > u").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = _low(large, "a", "b")
         small = large.withColumnRenamed("a", "u").join(low, "u").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = C.written(small.union(low.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        before, now = now, C.written(small.union(low.where("u <> m").select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct())
+        C.used_up(before)
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str = "fp", low: str = "low") -> DataFrame:
@@ -59,6 +60,7 @@ def components(edges: DataFrame, nodes: DataFrame, key: str = "fp", low: str = "
     tied = stars(edges)
     of = tied.select(F.col("a").alias(key), F.col("b").alias("root")).union(tied.select(F.col("b").alias(key), F.col("b").alias("root")).distinct())
     of = C.written(of.join(nodes.select(key, low), key))
+    C.used_up(tied)
     least = of.groupBy("root").agg(F.min(low).alias("least"))
     named = of.join(least, "root").select(key, "least")
     return nodes.join(named, key, "left").select(key, F.coalesce("least", low).alias(low))

@@ -149,7 +149,7 @@ def _star(members: DataFrame) -> DataFrame:
 
 def _tiles(members: DataFrame) -> DataFrame:
     """asked: all pairs of the nodes that are tied by buckets."""
-    tied = C.written(stars(members.select(F.col("node").alias("a"), F.col("low").alias("b"))))
+    tied = stars(members.select(F.col("node").alias("a"), F.col("low").alias("b")))
     nodes = members.select("node", "n").distinct().join(tied.withColumnsRenamed({"a": "node", "b": "block"}), "node", "left").withColumn("block", F.coalesce("block", "node"))
     sizes = nodes.groupBy("block").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     placed = nodes.join(sizes, "block").withColumn("own", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
@@ -159,17 +159,21 @@ def _tiles(members: DataFrame) -> DataFrame:
 
 
 def _named(of: DataFrame, edges: DataFrame) -> DataFrame:
-    """of (node, label) with its labels joined along edges a, b of nodes."""
+    """of (node, label) with its labels joined along edges a, b of nodes; both are used up."""
     a, b = of.withColumnsRenamed({"node": "a", "label": "x"}), of.withColumnsRenamed({"node": "b", "label": "y"})
-    tied = C.written(stars(edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))))
-    return of.join(tied.withColumnsRenamed({"a": "label", "b": "to"}), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    tied = stars(edges.join(a, "a").join(b, "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+    out = C.written(of.join(tied.withColumnsRenamed({"a": "label", "b": "to"}), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+    C.used_up(of, edges, tied)
+    return out
 
 
 def _open(members: DataFrame, of: DataFrame) -> DataFrame:
-    """The members of buckets with nodes of several labels, each with the bucket's smallest node."""
+    """The members (used up) of buckets with nodes of several labels, each with the bucket's smallest node."""
     named = members.join(of, "node")
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct("node", "n")).alias("low")).where("x <> y")
-    return C.written(members.select("node", "n", "key").join(mixed.select("key", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "key"))
+    out = C.written(members.select("node", "n", "key").join(mixed.select("key", F.col("low.node").alias("low"), F.col("low.n").alias("low_n")), "key"))
+    C.used_up(members)
+    return out
 
 
 def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: str = "row") -> DataFrame:
@@ -178,21 +182,27 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: st
     Words and case are op5's. Texts without words are copies of each other.
     """
     made = C.written(sketches(docs, text, doc_id, row))
+    rows = C.written(made.select("doc_id", "row", "node"))
     # Labels: op5's components, by their smallest fingerprint.
-    near = C.written(stars(C.written(simhash_dedup.links(made.select("fp").distinct(), simhash_dedup.DISTANCE))))
-    pairs = made.select("node", "fp").distinct().join(near.withColumnsRenamed({"a": "fp", "b": "to"}), "fp", "left").select("node", F.coalesce("to", "fp").alias("label"))
-    pairs = C.written(pairs.distinct())
+    edges = C.written(simhash_dedup.links(made.select("fp").distinct(), simhash_dedup.DISTANCE))
+    near = stars(edges)
+    pairs = C.written(made.select("node", "fp").distinct().join(near.withColumnsRenamed({"a": "fp", "b": "to"}), "fp", "left").select("node", F.coalesce("to", "fp").alias("label")).distinct())
+    C.used_up(edges, near)
     least = pairs.groupBy("node").agg(F.min("label").alias("low"))
     same = stars(pairs.join(least, "node").select(F.col("label").alias("a"), F.col("low").alias("b")))
-    of = least.join(same.withColumnsRenamed({"a": "low", "b": "to"}), "low", "left").select("node", F.coalesce("to", "low").alias("label"))
-    of = C.written(of)
-    # Buckets of two or more nodes.
-    keyed = made.select("node", "n", F.explode("keys").alias("key")).distinct()
-    shared = made.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    members = _open(C.written(keyed.join(shared, "key").select("node", "n", "key")), of)
+    of = C.written(least.join(same.withColumnsRenamed({"a": "low", "b": "to"}), "low", "left").select("node", F.coalesce("to", "low").alias("label")))
+    C.used_up(pairs, same)
+    # Buckets of two or more nodes: their smallest and largest node differ.
+    keyed = made.select("node", "n", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
+    members = _open(C.written(keyed.join(shared, "key").select("node", "n", "key").distinct()), of)
     # The sets of their nodes, each from the row with the smallest hash.
-    one = made.groupBy("node").agg(F.min("row").alias("row")).join(members.select("node").distinct(), "node")
-    sets = C.written(made.select("node", "row", "shingles").join(one, ["node", "row"]).select("node", "shingles").dropDuplicates(["node"]))
-    of = C.written(_named(of, C.written(verify(_star(members), sets))))
-    of = C.written(_named(of, C.written(verify(C.written(_tiles(_open(members, of))), sets))))
-    return made.select("doc_id", "row", "node").join(of, "node").select("doc_id", "row", F.col("label").alias("component"))
+    one = made.select("node", "row").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
+    sets = C.written(made.select("node", "row", "shingles").join(C.written(one), ["node", "row"], "left_semi").select("node", "shingles").dropDuplicates(["node"]))
+    C.used_up(made)
+    of = _named(of, C.written(verify(_star(members), sets)))
+    members = _open(members, of)
+    asked = C.written(_tiles(members))
+    of = _named(of, C.written(verify(asked, sets)))
+    C.used_up(members, asked, sets)
+    return rows.join(of, "node").select("doc_id", "row", F.col("label").alias("component"))
