@@ -39,7 +39,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = _columns(docs).withColumn("row", F.xxhash64(*COLUMNS))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("first")
-    keepers = shingle_dedup.cluster(docs).groupBy("component").agg(first).select(F.col("first.row").alias("row"))
+    keepers = written(shingle_dedup.cluster(docs).groupBy("component").agg(first).select(F.col("first.row").alias("row")))
     # Rows that are equal in all columns share a hash: one stays.
     kept = docs.join(keepers, "row", "left_semi").groupBy("row").agg(F.first(F.struct(*COLUMNS)).alias("kept"))
     return _columns(kept.select("kept.*"))
