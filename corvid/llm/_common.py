@@ -1,10 +1,7 @@
-"""What the operators share: written tables, word spans and 64-bit hashes on Arrow buffers."""
+"""What the operators share: written tables, word spans, words and their 64-bit hashes on Arrow buffers."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import scratch, shared_dir, used_up, written  # noqa: F401 - the operators' names for them
+
 #: Bytes of text that are hashed at once; bounds the arrays of a Python worker.
 CHUNK_BYTES = 2 << 20
 
@@ -22,59 +21,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-# ---------------------------------------------------------------- written tables
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where that is unset, a temporary one on a single machine, an error on a cluster."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where:
-        return where
-    held = spark.sparkContext.getCheckpointDir()
-    if not held:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="corvid-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone; the folder belongs to the cluster's own clean-up
-        pass
-
-
-#: Spark's setting by which a query's shuffle files go when it ends.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later stages start from files that any executor reads.
-
-    The shuffle files behind it are deleted at once. The table stays until used_up, or until the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/corvid-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEAN, None)
-    spark.conf.set(_CLEAN, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEAN, before) if before is not None else spark.conf.unset(_CLEAN)
-    atexit.register(_delete, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written = path
-    return out
-
-
-def used_up(*tables: DataFrame) -> None:
-    """Delete written tables from which nothing is read any more: all that was made of them is written too."""
-    for t in tables:
-        _delete(t.sparkSession, t._written)
+# ---------------------------------------------------------------- sizes
 
 
 def partitions(spark: SparkSession) -> int:
