@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, StringType
 
 from .text import mc_answer, py_strip
 
@@ -27,12 +22,20 @@ def _fields(text: Column) -> Column:
     return F.zip_with(names, values, lambda n, v: F.struct(n.alias("key"), v.alias("value")))
 
 
-def xml_entries(text: Column, depth: int = 3) -> Column:
-    """array of key, value of the tagged fields in order; a field that holds others gives way to them, down to ``depth`` levels."""
+#: Levels of nested fields that expressions unfold.
+DEPTH = 8
+
+
+def xml_entries(text: Column, depth: int = DEPTH) -> Column:
+    """array of key, value of the tagged fields in order; a field that holds others gives way to them.
+
+    Fields nested deeper than ``depth`` levels stay as the text of the field they stand in.
+    A field with a start tag but no whole field in it gives none.
+    """
     held = _fields(text)
     for _ in range(depth):
-        held = F.flatten(F.transform(held, lambda e: F.when(e["value"].rlike(START), _fields(e["value"])).otherwise(F.array(e))))
-    return F.filter(held, lambda e: ~e["value"].rlike(START))
+        held = F.flatten(F.transform(held, lambda e: F.when(e["value"].rlike(FIELD), _fields(e["value"])).when(e["value"].rlike(START), F.slice(F.array(e), 1, 0)).otherwise(F.array(e))))
+    return held
 
 
 def field_of(entries: Column, name: str) -> Column:
@@ -40,19 +43,31 @@ def field_of(entries: Column, name: str) -> Column:
     return F.try_element_at(F.filter(entries, lambda e: e["key"] == name), F.lit(-1))["value"]
 
 
-def _leaves(text: str) -> dict[str, str]:
-    found: dict[str, str] = {}
-    for match in re.finditer(FIELD, text):
-        value = match[2].strip()
-        found.update(_leaves(value) if re.search(START, value) else {match[1].replace("-", "_"): value})
-    return found
+def last_wins(entries: Column) -> Column:
+    """The map of entries in which a later one replaces an earlier one of the same key."""
+    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at(F.filter(entries, lambda e: e["key"] == k), F.lit(-1))["value"]))
+
+
+def xml_fields(text: Column) -> Column:
+    """The map of all fields of a text, nested ones included."""
+    return last_wins(xml_entries(text))
+
+
+def typed_json(value: Column) -> Column:
+    """A field's value as JSON: true and false (in any case) and whole numbers as such, anything else as a string."""
+    low = F.lower(value)
+    return F.when(low.isin("true", "false"), low).when(value.rlike(r"\A[0-9]+\z"), F.regexp_replace(value, r"\A0+(?=[0-9])", "")).otherwise(_quoted(value))
+
+
+def _quoted(value: Column) -> Column:
+    return F.regexp_extract(F.to_json(F.struct(value.alias("v"))), r'(?s)\A\{"v":(.*)\}\z', 1)
 
 
-@F.pandas_udf(MapType(StringType(), StringType()))
-def xml_fields(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The fields of texts nested to any depth; a later field of the same name replaces an earlier one."""
-    for some in texts:
-        yield some.map(lambda t: None if t is None else _leaves(t))
+def typed_fields(text: Column) -> Column:
+    """The map of all fields of a text with their values as JSON, and under "raw" the whole text."""
+    fields = F.transform_values(xml_fields(text), lambda k, v: typed_json(v))
+    return F.map_concat(F.map_filter(fields, lambda k, v: k != "raw"), F.create_map(F.lit("raw"), _quoted(text)))
 
 
 def score_of(entries: Column, field: str = "score") -> Column:
@@ -71,13 +86,11 @@ def assessment(entries: Column, field: str = "score") -> Column:
     known = (*KNOWN, field)
     text = lambda n: F.coalesce(field_of(entries, n), F.lit(""))
     others = F.filter(entries, lambda e: ~e["key"].isin(*known))
-    keys = F.array_distinct(F.transform(others, lambda e: e["key"]))
-    extra = F.map_from_arrays(keys, F.transform(keys, lambda k: F.try_element_at(F.filter(others, lambda e: e["key"] == k), F.lit(-1))["value"]))
     return F.struct(
         score_of(entries, field).alias("score"), score_error(entries, field).alias("error"),
         F.coalesce(F.nullif(field_of(entries, "analysis"), F.lit("")), text("impression")).alias("analysis"),
         F.coalesce(F.lower(field_of(entries, "needs_review")) == "true", F.lit(False)).alias("needs_review"),
-        text("errors").alias("errors"), text("improvement").alias("improvement"), extra.alias("extra"),
+        text("errors").alias("errors"), text("improvement").alias("improvement"), last_wins(others).alias("extra"),
     )
 
 

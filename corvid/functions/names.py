@@ -63,6 +63,17 @@ def is_checkpoint_name(x: Column) -> Column:
     return x.rlike(r"(?i)\Ae[0-9]+-")
 
 
+def is_experiment_spec(x: Column) -> Column:
+    """The looser test of a spec: it has a dash and starts with e."""
+    return F.contains(x, F.lit("-")) & F.startswith(F.lower(x), F.lit("e"))
+
+
+def experiment_of(x: Column) -> Column:
+    """struct experiment (upper case), checkpoint of a checkpoint's name."""
+    first = F.substring_index(x, "-", 1)
+    return F.struct(F.upper(first).alias("experiment"), F.regexp_extract(x, r"(?s)\A[^-]*-(.*)\z", 1).alias("checkpoint"))
+
+
 def checkpoint_name(experiment: Column, checkpoint: Column) -> Column:
     return F.lower(F.when(checkpoint == "final", experiment).otherwise(F.concat(experiment, F.lit("-"), checkpoint)))
 
@@ -139,6 +150,11 @@ def score_text(score: Column) -> Column:
     return F.when(score <= 1, F.format_string("%.1f%%", score * 100)).otherwise(F.format_string("%.2f", score))
 
 
+def delta_text(a: Column, b: Column) -> Column:
+    """What b is more than a: in points of a percentage if a is at most 1 in size, else with two decimals."""
+    return F.when(F.abs(a) <= 1, F.format_string("%+.1f%%", (b - a) * 100)).otherwise(F.format_string("%+.2f", b - a))
+
+
 def correct_estimate(score: Column, n: Column) -> Column:
     return (score * n + 0.5).cast("int")
 

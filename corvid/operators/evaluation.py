@@ -102,6 +102,12 @@ def errors_by_type(rows: DataFrame, kind: str = "error_type") -> DataFrame:
     return rows.where(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("error_type")).agg(F.count("*").alias("n"))
 
 
+def finished(output: DataFrame, error: str = "__ERROR__") -> DataFrame:
+    """A task's output as samples; an error record raises when it is read."""
+    kind = F.col(f"`{error}`")["error"]
+    return output.withColumn("id", F.when(kind.isNotNull(), F.raise_error(F.concat(F.lit("Error record: "), kind)).cast("string")).otherwise(F.col("id"))).drop(error)
+
+
 def split_errors(output: DataFrame, error: str = "__ERROR__") -> tuple[DataFrame, DataFrame]:
     """(finished rows, error rows) of a task's output."""
     return output.where(F.col(f"`{error}`").isNull()), output.where(F.col(f"`{error}`").isNotNull())

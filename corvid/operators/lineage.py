@@ -24,17 +24,28 @@ def dependency_changes(manifest: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def pipeline_status(pipelines: DataFrame, changes: DataFrame) -> DataFrame:
-    """owner, reasons, status of pipelines (owner, has_manifest, has_output, partial, old_code, new_code).
+    """owner, reasons, status of pipelines (owner, has_manifest, has_output, partial, old_code, new_code and, optionally, fault).
 
     Without a manifest or an output that is the only reason. status: STALE, PARTIAL (partial
-    is the only reason), CURRENT.
+    is the only reason), CURRENT; ERROR, with the fault as its reason, where the state could not be told.
     """
+    fault = F.col("fault") if "fault" in pipelines.columns else F.lit(None).cast("string")
     dep = changes.groupBy("owner").agg(F.array_sort(F.collect_list(F.concat("attr", F.lit(" "), "change"))).alias("deps"))
     reason = lambda test, text: F.when(test, F.lit(text))
     later = F.concat(F.array_compact(F.array(reason(F.col("partial"), "partial run"), reason(~F.col("old_code").eqNullSafe(F.col("new_code")), "code changed"))), F.coalesce("deps", F.array().cast("array<string>")))
-    reasons = F.when(~F.col("has_manifest"), F.array(F.lit("no manifest"))).when(~F.col("has_output"), F.array(F.lit("output missing"))).otherwise(later)
+    reasons = F.when(fault.isNotNull(), F.array(fault)).when(~F.col("has_manifest"), F.array(F.lit("no manifest"))).when(~F.col("has_output"), F.array(F.lit("output missing"))).otherwise(later)
     out = pipelines.join(dep, "owner", "left").withColumn("reasons", reasons)
-    return out.select("owner", "reasons", status_of(F.col("reasons")).alias("status"))
+    return out.select("owner", "reasons", F.when(fault.isNotNull(), "ERROR").otherwise(status_of(F.col("reasons"))).alias("status"))
+
+
+def status_counts(status: DataFrame) -> DataFrame:
+    """status, n."""
+    return status.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def upstream(sources: DataFrame, status: DataFrame) -> DataFrame:
+    """owner of the sources (source) whose pipeline is not current."""
+    return source_staleness(sources, status).where("stale").select(F.col("source").alias("owner")).distinct()
 
 
 def status_of(reasons: Column) -> Column:

@@ -10,22 +10,23 @@ from pyspark.sql import functions as F
 
 from ..functions.messages import sample_validity
 from ..functions.names import shuffle_key
+from ..storage import written
 
 
 @dataclass(frozen=True)
 class Recipe:
-    """Categories and their sources; mode "all" or "weighted"; weights by category."""
+    """Categories and their sources; mode "simple" (all of everything) or "weighted"; weights by category."""
 
     categories: dict[str, dict]
-    mode: str = "all"
+    mode: str = "simple"
     weights: dict[str, float] = field(default_factory=dict)
     shuffle_seed: int = 42
 
     def __post_init__(self):
         if not self.categories:
             raise ValueError("Recipe needs at least one category")
-        if self.mode not in ("all", "weighted"):
-            raise ValueError(f"Unknown mode '{self.mode}'; valid: all, weighted")
+        if self.mode not in ("simple", "weighted"):
+            raise ValueError(f"Unknown mode '{self.mode}'; valid: simple, weighted")
         for name, c in self.categories.items():
             if not has_source(c):
                 raise ValueError(f"Category '{name}' has no pipelines or files")
@@ -49,7 +50,10 @@ def resolve_sources(wanted: DataFrame, discovered: DataFrame) -> DataFrame:
 
 def expand_all(categories: DataFrame, discovered: DataFrame) -> DataFrame:
     """category, source rows in which the source "all" stands for every discovered one."""
-    every = categories.where("source = 'all'").select("category").withColumn("_one", F.lit(1)).join(discovered.select("source").withColumn("_one", F.lit(1)), "_one").select("category", "source")
+    # One list of names, as long as a project has sources, for the few categories that take all.
+    names = discovered.agg(F.collect_set("source").alias("names"))
+    every = categories.where("source = 'all'").agg(F.collect_set("category").alias("categories")).withColumn("names", names.scalar())
+    every = every.select(F.explode("categories").alias("category"), "names").select("category", F.explode("names").alias("source"))
     return categories.where("source <> 'all'").select("category", "source").union(every).distinct()
 
 
@@ -65,9 +69,11 @@ def combine(sources: list[tuple[str, str, DataFrame]]) -> DataFrame:
 
 
 def minimal(samples: DataFrame) -> DataFrame:
-    """id and messages; a row without one of them raises when it is read."""
-    fault = F.raise_error(F.concat(F.lit("Sample without id or messages: "), F.coalesce(F.col("id"), F.lit("null"))))
-    return samples.select(F.coalesce("id", fault.cast("string")).alias("id"), F.when(F.col("id").isNull() | F.col("messages").isNull(), F.raise_error(F.lit("Sample without messages"))).otherwise(F.col("messages")).alias("messages"))
+    """id and messages; a row without one of them raises when it is read, with its place where samples have a pos."""
+    at = F.concat(F.lit(" at "), F.col("pos")) if "pos" in samples.columns else F.lit("")
+    fault = F.raise_error(F.concat(F.lit("Sample without id or messages"), at, F.lit(": "), F.coalesce(F.col("id"), F.lit("null"))))
+    lacks = F.col("id").isNull() | F.col("messages").isNull()
+    return samples.select(F.when(lacks, fault).otherwise(F.col("id")).alias("id"), F.when(lacks, fault).otherwise(F.col("messages")).alias("messages"))
 
 
 def missing_fields(samples: DataFrame) -> DataFrame:
@@ -78,15 +84,23 @@ def missing_fields(samples: DataFrame) -> DataFrame:
 def numbered(df: DataFrame, order: list[Column], start: int = 0, name: str = "pos") -> DataFrame:
     """df with the place of each row in the given order.
 
-    Range-partitioned sort, one count for each partition, and an offset: no task sees all rows.
+    A range-partitioned sort, written once with each row's part and place in it; the rows
+    before a part come from one count for each part, so no task sees all rows.
     """
-    spark = df.sparkSession
-    width = len(df.columns)
-    ranged = df.orderBy(*order)
-    rows = ranged.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + start))
-    schema = df.withColumn(name, F.lit(0).cast("long")).schema
-    assert len(schema) == width + 1
-    return spark.createDataFrame(rows, schema)
+    part, place, before = (free(df.columns, n) for n in ("part", "place", "before"))
+    here = F.monotonically_increasing_id()
+    ranged = df.orderBy(*order).withColumns({part: F.shiftright(here, 33), place: here.bitwiseAND(F.lit((1 << 33) - 1))})
+    held = written(ranged)
+    counts = held.groupBy(part).agg(F.count("*").alias(before))
+    upto = counts.select(part, (F.sum(before).over(Window.orderBy(part)) - F.col(before)).alias(before))  # one row for each part
+    return held.join(upto, part).withColumn(name, F.col(place) + F.col(before) + start).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
+def free(taken: list[str], name: str) -> str:
+    """name, with as many underscores before it as no column has."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = f"_{name}"
+    return name
 
 
 def fill_ids(records: DataFrame, pos: str = "pos", prefix: str = "record") -> DataFrame:
@@ -130,17 +144,28 @@ def balance(totals: DataFrame) -> DataFrame:
 def sample_exactly(rows: DataFrame, targets: DataFrame, seed: int, key: str = "id", by: str = "category", buckets: int = 256) -> DataFrame:
     """Exactly target rows (all, if fewer) of each category, the first by the seed's order.
 
-    The order is the hash shuffle_key. Rank windows run within a category's hash buckets;
-    bucket counts before the shuffle tell which buckets are in, out, or cut, so no category
-    is ever sorted in one task.
+    The order is the hash shuffle_key; a null id counts as the empty text, rows with one id
+    stand in the order of their other values. A null category is one like any other. Rank
+    windows run within a category's hash buckets; bucket counts before the shuffle tell
+    which buckets are in, out, or cut, so no category is ever sorted in one task.
     """
-    hashed = rows.withColumn("_key", shuffle_key(seed, F.col(key))).withColumn("_bucket", F.floor(F.conv(F.substring("_key", 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
-    sums = hashed.groupBy(by, "_bucket").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(by).orderBy("_bucket")) - F.col("_n")
-    plan = sums.withColumn("_before", before).join(targets.select(by, F.col("target").alias("_target")), by).where("_before < _target").select(by, "_bucket", "_before", "_target")
-    rank = F.row_number().over(Window.partitionBy(by, "_bucket").orderBy("_key", key))
-    picked = hashed.withColumn("_rank", rank).join(plan, [by, "_bucket"]).where("_before + _rank <= _target")
-    return picked.select(*rows.columns)
+    ranked, chosen = _chosen(rows, targets, seed, key, by, buckets)
+    return ranked.where(F.col(chosen)).select(*[F.col(f"`{c}`") for c in rows.columns])
+
+
+def _chosen(rows: DataFrame, targets: DataFrame, seed: int, key: str, by: str, buckets: int) -> tuple[DataFrame, str]:
+    """rows of the categories of targets with a boolean column, and its name: whether a row is one of the target first of its category."""
+    at, bucket, rank, n, before, target, plan_by, chosen = (free([*rows.columns, *targets.columns], x) for x in ("at", "bucket", "rank", "n", "before", "goal", "plan_by", "chosen"))
+    named = F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))
+    hashed = rows.withColumn(at, shuffle_key(seed, named)).withColumn(bucket, F.floor(F.conv(F.substring(at, 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int"))
+    sums = hashed.groupBy(F.col(f"`{by}`").alias(plan_by), F.col(bucket).alias(f"{bucket}_")).agg(F.count("*").alias(n))
+    sums = sums.withColumn(before, F.sum(n).over(Window.partitionBy(plan_by).orderBy(f"{bucket}_")) - F.col(n))
+    goal = targets.select(F.col(f"`{by}`").alias(f"{plan_by}_"), F.col("target").alias(target))
+    plan = sums.join(goal, F.col(plan_by).eqNullSafe(F.col(f"{plan_by}_"))).drop(f"{plan_by}_", n)
+    rest = F.xxhash64(*[F.col(f"`{c}`") for c, t in rows.dtypes if "map<" not in t and "variant" not in t])
+    ranked = hashed.withColumn(rank, F.row_number().over(Window.partitionBy(F.col(f"`{by}`"), bucket).orderBy(at, F.col(f"`{key}`"), rest)))
+    joined = ranked.join(plan, F.col(f"`{by}`").eqNullSafe(F.col(plan_by)) & (F.col(bucket) == F.col(f"{bucket}_")))
+    return joined.withColumn(chosen, F.col(before) + F.col(rank) <= F.col(target)), chosen
 
 
 def shuffled(rows: DataFrame, seed: int, key: str = "id") -> DataFrame:
@@ -154,12 +179,20 @@ def first_shuffled(rows: DataFrame, seed: int, n: int, key: str = "id") -> DataF
 
 
 def train_val_split(rows: DataFrame, test_size: int, seed: int, key: str = "id") -> DataFrame:
-    """rows with split: val for the first test_size in the seed's order, else train. At least one row must remain to train on."""
+    """rows with split: val for the first test_size in the seed's order, else train.
+
+    At least one row must remain to train on. Rows are split each for itself: repeated ids
+    stand in the order of their other values, a null id counts as the empty text.
+    """
     if test_size < 0:
         raise ValueError("test_size must not be negative")
-    one = rows.withColumn("_all", F.lit("all"))
-    val = sample_exactly(one, one.select("_all").distinct().withColumn("target", F.lit(test_size)), seed, key, "_all").select(key).withColumn("split", F.lit("val"))
-    return rows.join(val, key, "left").withColumn("split", F.coalesce("split", F.lit("train")))
+    if test_size and test_size >= (n := rows.count()):
+        raise ValueError(f"test_size {test_size} leaves no row of {n} to train on")
+    every = free(rows.columns, "every")
+    one = rows.withColumn(every, F.lit("all"))
+    goal = rows.sparkSession.range(1).select(F.lit("all").alias(every), F.lit(test_size).alias("target"))
+    ranked, chosen = _chosen(one, goal, seed, key, every, 256)
+    return ranked.select(*[F.col(f"`{c}`") for c in rows.columns], F.when(F.col(chosen), "val").otherwise("train").alias("split"))
 
 
 def exact_sample_positions(total: int, k: int, seed: int) -> list[int]:

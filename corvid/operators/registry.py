@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import checkpoint_name, model_class, model_string, organization
@@ -12,9 +12,44 @@ FORMATS = (
     ("deepseek-v3", "deepseekv3_thinking", True),
     ("deepseek-v3", "deepseekv3", False),
     ("qwen3", "qwen3", None),
-    ("kimi-k2", "kimi_k2", None),
+    ("kimi", "kimi_k2", None),
 )
 
+# Public base models; name, size, training type, architecture, renderer, whether it chats, whether it sees.
+METADATA = (
+    ("deepseek-ai/DeepSeek-V3.1", "671B-A37B", "Hybrid", "MoE", "deepseekv3", True, False),
+    ("deepseek-ai/DeepSeek-V3.1-Base", "671B-A37B", "Base", "MoE", "role_colon", False, False),
+    ("moonshotai/Kimi-K2-Thinking", "1T-A32B", "Reasoning", "MoE", "kimi_k2", True, False),
+    ("meta-llama/Llama-3.1-70B", "70B", "Base", "Dense", "role_colon", False, False),
+    ("meta-llama/Llama-3.1-8B", "8B", "Base", "Dense", "role_colon", False, False),
+    ("meta-llama/Llama-3.1-8B-Instruct", "8B", "Instruction", "Dense", "llama3", True, False),
+    ("meta-llama/Llama-3.2-1B", "1B", "Base", "Dense", "role_colon", False, False),
+    ("meta-llama/Llama-3.2-3B", "3B", "Base", "Dense", "role_colon", False, False),
+    ("meta-llama/Llama-3.3-70B-Instruct", "70B", "Instruction", "Dense", "llama3", True, False),
+    ("Qwen/Qwen3-235B-A22B-Instruct-2507", "235B-A22B", "Instruction", "MoE", "qwen3_instruct", True, False),
+    ("Qwen/Qwen3-30B-A3B", "30B-A3B", "Hybrid", "MoE", "qwen3", True, False),
+    ("Qwen/Qwen3-30B-A3B-Base", "30B-A3B", "Base", "MoE", "role_colon", False, False),
+    ("Qwen/Qwen3-30B-A3B-Instruct-2507", "30B-A3B", "Instruction", "MoE", "qwen3_instruct", True, False),
+    ("Qwen/Qwen3-32B", "32B", "Hybrid", "Dense", "qwen3", True, False),
+    ("Qwen/Qwen3-4B-Instruct-2507", "4B", "Instruction", "Dense", "qwen3_instruct", True, False),
+    ("Qwen/Qwen3-8B", "8B", "Hybrid", "Dense", "qwen3", True, False),
+    ("Qwen/Qwen3-8B-Base", "8B", "Base", "Dense", "role_colon", False, False),
+    ("Qwen/Qwen3-VL-235B-A22B-Instruct", "235B-A22B", "Vision", "MoE", "qwen3_vl_instruct", True, True),
+    ("Qwen/Qwen3-VL-30B-A3B-Instruct", "30B-A3B", "Vision", "MoE", "qwen3_vl_instruct", True, True),
+    ("openai/gpt-oss-120b", "117B-A5.1B", "Reasoning", "MoE", "gpt_oss_no_sysprompt", True, False),
+    ("openai/gpt-oss-20b", "21B-A3.6B", "Reasoning", "MoE", "gpt_oss_no_sysprompt", True, False),
+)
+
+
+def metadata(spark: SparkSession) -> DataFrame:
+    """What is known of public base models."""
+    return spark.createDataFrame(list(METADATA), "name string, size string, training_type string, architecture string, renderer string, chat boolean, vision boolean")
+
+
+def catalog_model(models: DataFrame, name: str) -> DataFrame:
+    """The one model of exactly this name, or none."""
+    return models.where(F.col("name") == name).limit(1)
+
 
 def overlay(*layers: DataFrame) -> DataFrame:
     """The union of layers (name, ...) in which a later layer replaces a name; within a layer the last row by pos."""
@@ -92,6 +127,11 @@ def model_format(name: Column, thinking: bool = True) -> Column:
     return out
 
 
+def required_format(name: Column, thinking: bool = True) -> Column:
+    """model_format; a name of no known family raises when it is read."""
+    return F.coalesce(model_format(name, thinking), F.raise_error(F.concat(F.lit("No format for model: "), name)).cast("string"))
+
+
 def route(requests: DataFrame, registry: DataFrame, supported: tuple[str, ...]) -> DataFrame:
     """requests (model) with provider, resolved model and fault: the name is unknown, or its provider is not supported."""
     known = registry.select(F.col("name").alias("model"), "provider", F.col("model").alias("model_resolved"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import config_diff, is_short_id, short_id
+from ..functions.names import is_short_id, short_id
 
 #: Columns that make two runs comparable.
 CONFIG = ("eval", "dataset_sha", "judge_prompt_sha", "judge", "temperature", "max_tokens", "runs_per_sample", "judge_temperature", "judges_per_run", "n_samples")
@@ -70,9 +70,11 @@ def groups_in_order(results: DataFrame, config: list[str], name: str = "eval") -
 
 def pair_diff(a: DataFrame, b: DataFrame, fields: list[str]) -> DataFrame:
     """field, a, b where two single rows differ (as text)."""
-    as_map = lambda df, name: df.select(F.create_map(*[x for f in fields for x in (F.lit(f), F.col(f"`{f}`").cast("string"))]).alias(name), F.lit(1).alias("_one"))
-    both = as_map(a.limit(1), "ma").join(as_map(b.limit(1), "mb"), "_one")
-    return both.select(F.explode(config_diff(F.col("ma"), F.col("mb"))).alias("field", "v")).select("field", "v.a", "v.b")
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"`{f}`").cast("string").alias("v")) for f in fields])
+    side = lambda df, name: df.limit(1).select(F.inline(pairs)).withColumn("side", F.lit(name))
+    of = lambda name: F.max(F.when(F.col("side") == name, F.col("v"))).alias(name)
+    both = side(a, "a").union(side(b, "b")).groupBy("field").agg(of("a"), of("b"))
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("field", "a", "b")
 
 
 def latest_versions(index: DataFrame) -> DataFrame:

@@ -9,21 +9,27 @@ retried, so clients should be idempotent; write the output once before branching
 from __future__ import annotations
 
 import hashlib
+import inspect
 import json
 import subprocess
 import time
 from collections.abc import Callable, Generator, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from datetime import datetime
+from pathlib import Path
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.messages import SAMPLING
 from ..schema import TASK_OUTPUT, struct
+from ..storage import path_hash, written
 
 
 @dataclass
@@ -74,6 +80,11 @@ class HashClient:
         return Response(hashlib.md5(last.encode()).hexdigest(), model_resolved=request.model)
 
 
+def patient(client: ModelClient, outer: int = 5, inner: int = 3, pause: float = 1.0) -> RetryingClient:
+    """Up to ``inner`` tries for a call, and that up to ``outer`` times."""
+    return RetryingClient(RetryingClient(client, inner, pause), outer, pause)
+
+
 class RetryingClient:
     """Tries a client again after errors and empty answers, with linearly growing pauses."""
 
@@ -200,8 +211,26 @@ def run_record(task: Task, record: dict, client: ModelClient, commit: str | None
     }
 
 
-def rollout(records: DataFrame, task: Task, client: Callable[[], ModelClient] = HashClient, commit: str | None = None, file: str | None = None, workers: int = 8) -> DataFrame:
-    """records through a task: rows of TASK_OUTPUT, errors under __ERROR__. ``client`` is made once for each partition."""
+def respond(records: DataFrame, client: Callable[[], ModelClient] = HashClient, workers: int = 8) -> DataFrame:
+    """records (messages or prompt, _model and sampling options if they have them) with response: the model's answer, or ERROR: and why there is none. All columns stay."""
+    kept = records.drop("response")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = client()
+
+        def one(record: dict) -> str | None:
+            return query(made, next(single_turn(record))).text_or_error()
+
+        with ThreadPoolExecutor(workers) as pool:
+            for batch in batches:
+                said = list(pool.map(one, [{"id": None} | r for r in batch.to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string())], [*batch.schema.names, "response"])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField("response", StringType())]))
+
+
+def rollout(records: DataFrame, task: Task, client: Callable[[], ModelClient] = HashClient, commit: str | None = None, file: str | None = None, workers: int = 8, done: Accumulator | None = None) -> DataFrame:
+    """records through a task: rows of TASK_OUTPUT, errors under __ERROR__. ``client`` is made once for each partition; ``done`` counts finished records as they come."""
 
     names = struct(TASK_OUTPUT).names
 
@@ -211,6 +240,8 @@ def rollout(records: DataFrame, task: Task, client: Callable[[], ModelClient] =
             for frame in frames:
                 rows = [_plain(r) for r in frame.to_dict("records")]
                 out = list(pool.map(lambda r: run_record(task, r, made, commit, file), rows))
+                if done is not None:
+                    done.add(len(out))
                 yield pd.DataFrame([{n: o.get(n) for n in names} for o in out], columns=names, dtype=object)
 
     return records.mapInPandas(run, TASK_OUTPUT)
@@ -237,21 +268,64 @@ class Pipeline:
         raise NotImplementedError
 
     def execute(self, spark, limit: int | None = None) -> DataFrame:
+        """The samples, made and written before teardown."""
         self.setup()
         try:
             out = self.transform(spark)
-            return out if limit is None else out.orderBy("id").limit(limit)
+            return written(out if limit is None else out.orderBy("id").limit(limit))
         finally:
             self.teardown()
 
 
-def dependency_rows(pipeline: type[Pipeline]) -> list[tuple[str, str, str, str]]:
-    """owner, attr, type, hash of a pipeline's declared dependencies (values with ``ref`` and ``content``)."""
-    return [(pipeline.name, k, type(v).__name__, hashlib.sha256(str(getattr(v, "content", v)).encode()).hexdigest()[:16]) for k, v in sorted(pipeline.deps.items())]
+@dataclass(frozen=True)
+class ModelDep:
+    """A registered model; its system prompt's hash tells whether it has changed."""
+
+    name: str
+    sysprompt: str | None = None
+    type = "model"
+
+    def hash(self) -> str | None:
+        return hashlib.sha256(self.sysprompt.encode()).hexdigest()[:16] if self.sysprompt else None
+
+    def entry(self) -> dict:
+        return {"type": self.type, "registry": self.name, "sysprompt_hash": self.hash()}
+
+
+@dataclass(frozen=True)
+class FileDep:
+    """A file or a folder of the project; the hash of its content tells whether it has changed."""
+
+    path: str
+    type = "file"
+
+    def read(self) -> str:
+        return Path(self.path).read_text()
+
+    def exists(self) -> bool:
+        return Path(self.path).exists()
+
+    def hash(self) -> str | None:
+        return path_hash(self.path)
+
+    def entry(self) -> dict:
+        return {"type": self.type, "path": self.path, "content_hash": self.hash()}
+
+
+def code_hash(pipeline: type[Pipeline]) -> str:
+    """16 hex digits of the SHA-256 of a pipeline's source."""
+    return hashlib.sha256(inspect.getsource(pipeline).encode()).hexdigest()[:16]
+
+
+def dependency_rows(pipeline: type[Pipeline]) -> list[tuple[str, str, str, str | None]]:
+    """owner, attr, type, hash of a pipeline's declared dependencies; a plain value counts by its text."""
+    known = lambda v: (v.type, v.hash()) if isinstance(v, (ModelDep, FileDep)) else (type(v).__name__, hashlib.sha256(str(v).encode()).hexdigest()[:16])
+    return [(pipeline.name, k, *known(v)) for k, v in sorted(pipeline.deps.items())]
 
 
-def step_dicts(steps: list[Request]) -> list[dict]:
-    return [asdict(s) for s in steps]
+def manifest_entries(pipeline: type[Pipeline]) -> dict[str, dict]:
+    """What a pipeline's manifest says of each dependency."""
+    return {k: v.entry() for k, v in sorted(pipeline.deps.items()) if isinstance(v, (ModelDep, FileDep))}
 
 
 def success(df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,19 +22,20 @@ def has_multi_turn(rows: DataFrame) -> DataFrame:
 
 
 def steps(rows: int, test_size: int, batch_size: int, epochs: int, at_least_one: bool = False) -> dict[str, int]:
-    """Step arithmetic of a run."""
+    """Step arithmetic of a run: whole batches; with at_least_one an epoch of less than one batch is one step."""
     if batch_size <= 0 or epochs <= 0:
         raise ValueError("batch_size and epochs must be positive")
     train = rows - test_size
     each = train // batch_size
     if at_least_one:
-        each = max(1, math.ceil(train / batch_size))
+        each = max(1, each)
     return {"train_rows": train, "steps_per_epoch": each, "total_steps": each * epochs}
 
 
-def steps_columns(counts: DataFrame, test_size: int, batch_size: int, epochs: int) -> DataFrame:
+def steps_columns(counts: DataFrame, test_size: int, batch_size: int, epochs: int, at_least_one: bool = False) -> DataFrame:
     """counts (rows) with train_rows, steps_per_epoch, total_steps."""
-    out = counts.withColumn("train_rows", F.col("rows") - test_size).withColumn("steps_per_epoch", F.floor(F.col("train_rows") / batch_size))
+    each = F.floor(F.col("train_rows") / batch_size)
+    out = counts.withColumn("train_rows", F.col("rows") - test_size).withColumn("steps_per_epoch", F.greatest(each, F.lit(1)) if at_least_one else each)
     return out.withColumn("total_steps", F.col("steps_per_epoch") * epochs)
 
 

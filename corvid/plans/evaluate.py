@@ -16,6 +16,7 @@ from ..operators import evaluation as E
 from ..operators import rollout as O
 from ..operators.prep import numbered
 from ..schema import EVAL_RESULT, GENERATION, RESULT_VERSION, struct
+from ..storage import written
 
 
 @dataclass
@@ -29,6 +30,10 @@ class Evaluation:
     max_score: int = 1
     criteria: str = "Judge the response."
     fields: dict[str, str] = field(default_factory=dict)
+    #: A judge of one's own, for kind "custom": (response, gold, prompt) to struct score, extracted, error.
+    judge: Callable[[Column, Column, Column], Column] | None = None
+    #: Metrics of one's own: aggregates over final_score, error, correct (final_score is 1) and score (final_score).
+    aggregates: Callable[[], list[Column]] | None = None
 
     def prompt(self, samples: DataFrame) -> Column:
         return E.prompt_column(self.prompt_template, samples.columns)
@@ -48,16 +53,16 @@ def _ask(record: dict):
 
 
 def _answers(records: DataFrame, client: Callable[[], O.ModelClient]) -> DataFrame:
-    """id, response, error of records (id, prompt, _model)."""
+    """id, response, error and its type of records (id, prompt, _model). Written at once: each call is made once, however often the answers are read."""
     out = O.rollout(records, _ask, client)
     e = F.col("__ERROR__")
-    return out.select(F.coalesce("id", F.get_json_object(e["input_data"], "$.id")).alias("id"), F.element_at("messages", -1)["content"].alias("response"), e["message"].alias("error"))
+    return written(out.select(F.coalesce("id", F.get_json_object(e["input_data"], "$.id")).alias("id"), F.element_at("messages", -1)["content"].alias("response"), e["message"].alias("error"), e["error"].alias("error_type")))
 
 
 def run_eval(evaluation: Evaluation, samples: DataFrame, client: Callable[[], O.ModelClient], model: str, judge: Callable[[], O.ModelClient] | None = None, runs: int = 1, judges: int = 1, order: list[str] | None = None) -> DataFrame:
-    """Generation rows: each sample asked ``runs`` times, each response judged once (multiple choice) or ``judges`` times.
+    """Generation rows: each sample asked ``runs`` times, each response judged once (multiple choice, or a judge of one's own) or ``judges`` times.
 
-    Write the result once before using it twice: calls are repeated otherwise.
+    All calls are made here, once each; the result reads what was answered.
     """
     mapped = evaluation.check(E.map_fields(samples, evaluation.fields))
     placed = evaluation.ids(numbered(mapped, [F.col(c) for c in order or mapped.columns[:1]]))
@@ -68,6 +73,9 @@ def run_eval(evaluation: Evaluation, samples: DataFrame, client: Callable[[], O.
     if evaluation.kind == "binary":
         v = F.when(F.col("error").isNull(), J.mc_verdict(F.col("response"), F.col("gold")))
         judged = answered.withColumn("v", v).select("*", F.col("v.score").alias("final_score"), F.col("v.extracted").alias("extracted"), none.alias("judgments"))
+    elif evaluation.kind == "custom":
+        v = F.when(F.col("error").isNull(), evaluation.judge(F.col("response"), F.col("gold"), F.col("prompt")))
+        judged = answered.withColumn("v", v).select(*[c for c in answered.columns if c != "error"], F.coalesce("error", "v.error").alias("error"), F.col("v.score").cast("double").alias("final_score"), F.col("v.extracted").alias("extracted"), none.alias("judgments"))
     else:
         wanted = E.times(answered.where("error is null"), judges, "j").withColumn("jid", F.concat_ws("#", "id", "j"))
         question = J.judge_prompt(F.lit(evaluation.criteria), strip_thinking(F.col("response")), F.col("prompt"), evaluation.max_score)
@@ -83,12 +91,14 @@ def run_eval(evaluation: Evaluation, samples: DataFrame, client: Callable[[], O.
         judged = answered.join(listed, "id", "left").withColumn("judgments", F.coalesce("judgments", none)).withColumn("final_score", E.final_score(F.col("judgments"))).withColumn("extracted", F.lit(None).cast("string"))
     return judged.select(
         F.lit(evaluation.name).alias("_eval"), F.lit(RESULT_VERSION).alias("_version"), N.score_type(F.lit(evaluation.kind), F.lit(evaluation.max_score)).alias("_score_type"), F.lit(model).alias("model"),
-        "sample_id", F.col("run").cast("int").alias("run"), "final_score", "prompt", "response", "gold", "extracted", "judgments", "error",
+        "sample_id", F.col("run").cast("int").alias("run"), "final_score", "prompt", "response", "gold", "extracted", "judgments", "error", F.when(F.col("error").isNotNull(), F.coalesce("error_type", F.lit("judge_error"))).alias("error_type"),
     )
 
 
 def metrics(evaluation: Evaluation, generations: DataFrame) -> DataFrame:
-    """One row of metrics, as the kind of evaluation has them."""
+    """One row of metrics: the evaluation's own, or as its kind has them."""
+    if evaluation.aggregates is not None:
+        return generations.withColumn("correct", F.col("final_score") == 1).withColumn("score", F.col("final_score")).agg(*evaluation.aggregates())
     if evaluation.kind == "binary":
         return generations.withColumn("correct", F.col("final_score") == 1).agg(*E.accuracy())
     return generations.withColumn("score", F.col("final_score")).agg(*E.runner_scored(evaluation.max_score))
@@ -116,7 +126,7 @@ def index_row(evaluation: Evaluation, generations: DataFrame, model: dict, judge
     spark = generations.sparkSession
     m = metrics(evaluation, generations).first()
     n = m.total // runs
-    failed = {r.kind: r.n for r in generations.where("error is not null").groupBy(F.lit("model_error").alias("kind")).agg(F.count("*").alias("n")).collect()}
+    failed = {r.error_type: r.n for r in E.errors_by_type(generations).collect()}  # one row for each type of error
     moment = at or datetime.now()
     result_id = spark.range(1).select(N.new_result_id(F.lit(moment)).alias("id")).first().id
     sampled = {"temperature": None, "max_tokens": None} | (sampling or {})

@@ -24,23 +24,28 @@ def _sources(spark: SparkSession, recipe: P.Recipe, outputs: dict[str, str]) ->
 
 
 def _hashes(spark: SparkSession, sources: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """category, name, hash; a source's hash is that of its files' hashes in order."""
-    out = []
+    """category, name, hash; a source's hash is its file's, or that of its files' names and hashes. One job for all."""
+    files = None
     for category, name, path in sources:
-        listed = R.file_hashes(spark, path).orderBy("path").collect()
-        out.append((category, name, listed[0].hash if len(listed) == 1 else "+".join(r.hash for r in listed)))
-    return out
+        one = R.file_hashes(spark, path).select(F.lit(category).alias("category"), F.lit(name).alias("name"), F.substring_index("path", "/", -1).alias("file"), "hash")
+        files = one if files is None else files.union(one)
+    if files is None:
+        return []
+    whole = F.when(F.count("*") == 1, F.first("hash")).otherwise(W.multiset_hash(F.concat_ws("/", "file", "hash")))
+    return [tuple(r) for r in files.groupBy("category", "name").agg(whole.alias("hash")).collect()]  # one row for each source
 
 
-def status(spark: SparkSession, recipe_path: str, outputs: dict[str, str], target: str) -> dict:
-    """Whether the dataset at target is current, and if not, why."""
+def status(spark: SparkSession, recipe_path: str, outputs: dict[str, str], target: str, pipelines: DataFrame | None = None) -> dict:
+    """Whether the dataset at target is current, and if not, why; with the status of pipelines (owner, status) also which sources upstream are not current."""
     manifest = Path(f"{target}.manifest.json")
     old = json.loads(manifest.read_text()) if manifest.exists() else {"categories": {}, "recipe_hash": None}
-    before = [(c, s, v["hash"]) for c, k in old["categories"].items() for s, v in k["sources"].items()]
-    now = _hashes(spark, _sources(spark, R.load_recipe(recipe_path), outputs))
-    ddl = "category string, name string, hash string"
-    diff = L.manifest_diff(spark.createDataFrame(before, ddl), spark.createDataFrame(now, ddl))
-    return L.dataset_status(manifest.exists(), Path(target).exists(), old["recipe_hash"] != _recipe_hash(recipe_path), diff, spark.createDataFrame([], "owner string"))
+    sources = _sources(spark, R.load_recipe(recipe_path), outputs)
+    now = spark.createDataFrame(_hashes(spark, sources), "category string, name string, hash string")
+    diff = L.manifest_diff(R.manifest_rows(spark, old), now)
+    none = spark.createDataFrame([], "owner string")
+    used = spark.createDataFrame([(s,) for _, s, _ in sources if s in outputs], "source string")
+    stale = none if pipelines is None else L.upstream(used, pipelines)
+    return L.dataset_status(manifest.exists(), Path(target).exists(), old.get("recipe_hash") != _recipe_hash(recipe_path), diff, stale)
 
 
 def _recipe_hash(path: str) -> str:

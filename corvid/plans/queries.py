@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from ..operators import results as R
 from ..operators import rollout as O
 from ..operators import training as T
 from ..schema import TRAIN_SAMPLE
+from ..storage import scratch
 from ..streaming import metrics as stream
 from . import shapes as H
 
@@ -413,7 +413,10 @@ def _curve(spark, d):
     return T.curve(T.normalize_metrics(H.metric_rows(spark, d)), STEPS, PARAMETERS)
 
 
-@query(H.sql("SELECT step, round(train_loss, 9) AS train_loss, round(g / 2000, 9) AS grad, round(val_loss, 9) AS val_loss, round((step + 1) / 10000, 9) AS progress FROM metrics", "metrics"))
+_CURVE_SQL = H.sql("SELECT step, round(train_loss, 9) AS train_loss, round(g / 2000, 9) AS grad, round(val_loss, 9) AS val_loss, round((step + 1) / 10000, 9) AS progress FROM metrics", "metrics")
+
+
+@query(_CURVE_SQL)
 def metrics_curve(spark, d):
     return _curve(spark, d).select("step", *[F.round(c, 9).alias(c) for c in ("train_loss", "grad", "val_loss", "progress")])
 
@@ -486,15 +489,15 @@ def nested_xml(spark, d):
     return found.select("doc_id", *[F.col("fields")[n].alias(n) for n in ("lang", "source", "n")])
 
 
-@query()
+@query(_CURVE_SQL)
 def metrics_stream(spark, d):
     """The metrics log written in parts and followed as a stream to its end; rows as metrics_curve has them."""
-    folder = tempfile.mkdtemp(prefix="corvid-stream-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir').rstrip('/')}/stream-{spark.range(1).select(F.uuid()).first()[0]}"
+    folder = scratch(spark)
     H.metric_rows(spark, d).repartition(4, "step").write.mode("overwrite").json(folder)
     out = f"{folder}-out"
     flow = stream.follow(spark, folder, STEPS, PARAMETERS, files_per_trigger=2)
     stream.on_progress(flow, lambda batch, _: batch.write.mode("append").parquet(out), f"{folder}-state", once=True).awaitTermination()
-    return spark.read.schema(flow.schema).parquet(out)
+    return spark.read.schema(flow.schema).parquet(out).select("step", *[F.round(c, 9).alias(c) for c in ("train_loss", "grad", "val_loss", "progress")])
 
 
 # ---------------------------------------------------------------- messages, names and records
@@ -563,12 +566,12 @@ def judge_prompts(spark, d):
     return H.table(spark, d, "documents").select("doc_id", J.judge_prompt(F.lit("Judge it."), F.col("source"), F.col("lang"), 5).alias("prompt"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN s_name ELSE n_name END AS model FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 25 LEFT JOIN supplier ON s_suppkey = 1")
+@query("SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN s_name ELSE n_name END AS model FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 25 LEFT JOIN supplier ON s_suppkey = c_custkey % 60")
 def alias_resolution(spark, d):
     k = F.col("c_custkey")
     nation = H.table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("name"), F.col("n_name").alias("model"))
-    log = H.table(spark, d, "supplier").where("s_suppkey = 1").select(F.lit("exp").alias("name"), F.col("s_name").alias("model"))
-    asked = H.table(spark, d, "customer").select("c_custkey", F.when(k % 4 == 0, "none").when(k % 2 == 0, "exp").otherwise(F.concat(F.lit("n"), k % 25)).alias("alias"))
+    log = H.table(spark, d, "supplier").select(F.concat(F.lit("exp"), "s_suppkey").alias("name"), F.col("s_name").alias("model"))
+    asked = H.table(spark, d, "customer").select("c_custkey", F.when(k % 4 == 0, "none").when(k % 2 == 0, F.concat(F.lit("exp"), k % 60)).otherwise(F.concat(F.lit("n"), k % 25)).alias("alias"))
     return G.resolve_alias(asked, nation, log).select("c_custkey", "model")
 
 
@@ -599,3 +602,6 @@ def source_staleness(spark, d):
 def result_pair_diff(spark, d):
     t = H.table(spark, d, "nation")
     return R.pair_diff(t.where("n_nationkey = 0"), t.where("n_nationkey = 5"), ["n_name", "n_nationkey", "n_regionkey"])
+
+
+from . import stored  # noqa: E402, F401 - adds the queries that write and read files

@@ -25,7 +25,7 @@ PARSED_DDL = "struct<analysis:string,needs_review:boolean,errors:string,improvem
 JUDGMENT_DDL = f"struct<judge:string,raw:string,score:double,parsed:{PARSED_DDL},error:string>"
 GENERATION = (
     "_eval string, _version int, _score_type string, model string, sample_id string, run int, final_score double, prompt string, "
-    f"response string, gold string, extracted string, judgments array<{JUDGMENT_DDL}>, error string"
+    f"response string, gold string, extracted string, judgments array<{JUDGMENT_DDL}>, error string, error_type string"
 )
 
 TRAIN_CONFIG = (

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
+import importlib.util
 import os
+import sys
 from pathlib import Path
 
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
 from ..functions.names import short_hash
 from ..operators.prep import Recipe, numbered
+from ..storage import path_hash, written
 
 
 def read_strict(spark: SparkSession, path, schema: T.StructType | str) -> DataFrame:
@@ -66,14 +68,8 @@ def file_hashes(spark: SparkSession, path) -> DataFrame:
 
 
 def directory_hash(folder: str) -> str:
-    """One hash over relative paths and contents, in order of paths; files are streamed on the driver."""
-    total, top = hashlib.sha256(), Path(folder)
-    for p in sorted(x for x in top.rglob("*") if x.is_file()):
-        total.update(str(p.relative_to(top)).encode())
-        with p.open("rb") as f:
-            while part := f.read(1 << 20):
-                total.update(part)
-    return total.hexdigest()[:16]
+    """One hash over relative paths and contents, in order of paths."""
+    return path_hash(folder)
 
 
 def read_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -96,24 +92,50 @@ def read_metrics(spark: SparkSession, path, schema: T.StructType | str = S.METRI
     return spark.read.schema(schema).json(path)
 
 
-_CHECKPOINT = "name string, path string, batch long, epoch long"
+_CHECKPOINT = "name string, path string, sampler_path string, batch long, epoch long"
+_REGISTRY_ENTRY = "struct<provider:string,model:string,temperature:double>"
+
+
+def _experiment() -> Column:
+    return F.regexp_extract(F.url_decode("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("experiment")
+
+
+def _documents(spark: SparkSession, logs: str, name: str, schema: str) -> DataFrame:
+    """experiment and the fields of each experiment's JSON document of that name; none where no experiment has one."""
+    files = spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", name).option("recursiveFileLookup", True).json(logs)
+    return files.select(_experiment(), "*")
 
 
 def read_experiments(spark: SparkSession, logs: str) -> DataFrame:
-    """experiment, checkpoint, path, base_model, renderer, pos of all experiments that have checkpoints and a training configuration."""
-    key = F.regexp_extract(F.url_decode("_metadata.file_path"), r"([^/]+)/[^/]+$", 1).alias("experiment")
-    points = spark.read.schema(_CHECKPOINT).json(f"{logs}/*/checkpoints.jsonl").select(key, F.col("name").alias("checkpoint"), "path", F.coalesce("batch", "epoch").alias("pos"))
-    config = spark.read.schema("base_model string, renderer string").option("multiLine", True).json(f"{logs}/*/train-config.json").select(key, "base_model", "renderer")
-    return points.join(config, "experiment")
+    """experiment, checkpoint, path, base_model, renderer, provider, model, temperature, pos: the checkpoints of all experiments.
+
+    An experiment counts if it has checkpoints and a training configuration with a base
+    model. The renderer is the one of its builder's configuration (config.json), else the
+    training configuration's. Trained by another backend, it gives one row, "final", with
+    the model that its options or artifacts.json register, and none without one.
+    """
+    points = spark.read.schema(_CHECKPOINT).option("pathGlobFilter", "checkpoints.jsonl").option("recursiveFileLookup", True).json(logs)
+    points = points.select(_experiment(), F.col("name").alias("checkpoint"), F.coalesce("sampler_path", "path").alias("path"), F.coalesce("batch", "epoch").alias("pos"))
+    config = _documents(spark, logs, "train-config.json", f"base_model string, renderer string, backend string, backend_options struct<registry:{_REGISTRY_ENTRY}>").where("base_model <> ''")
+    builder = _documents(spark, logs, "config.json", "dataset_builder struct<common_config:struct<renderer_name:string>>").select("experiment", F.col("dataset_builder.common_config.renderer_name").alias("built"))
+    artifacts = _documents(spark, logs, "artifacts.json", f"registry {_REGISTRY_ENTRY}").select("experiment", F.col("registry").alias("made"))
+    known = config.join(builder, "experiment", "left").join(artifacts, "experiment", "left").withColumn("own", F.coalesce("backend", F.lit("tinker")) == "tinker").withColumn("entry", F.coalesce("backend_options.registry", "made"))
+    none = lambda t: F.lit(None).cast(t)
+    trained = points.join(known.where("own"), "experiment").select("experiment", "checkpoint", "path", "base_model", F.coalesce("built", "renderer").alias("renderer"), none("string").alias("provider"), none("string").alias("model"), none("double").alias("temperature"), "pos")
+    other = known.where("not own and entry.model <> ''").join(points.select("experiment").distinct(), "experiment", "left_semi")
+    return trained.union(other.select("experiment", F.lit("final"), none("string"), "base_model", none("string"), F.coalesce("entry.provider", F.lit("local")), "entry.model", "entry.temperature", none("long")))
 
 
 def read_chat_rows(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 1), messages, valid of each non-blank line; line counts blank ones."""
-    lines = spark.read.text(path).withColumn("_file", F.col("_metadata.file_path"))
-    rows = lines.rdd.zipWithIndex().map(lambda r: (r[1] + 1, r[0][0]))
-    numbered_ = spark.createDataFrame(rows, "line long, value string").where("trim(value) <> ''")
+    """line (from 1 in each file), messages, valid of each non-blank line; line counts blank ones."""
+    here = F.monotonically_increasing_id()
+    lines = written(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), here.alias("here")))
+    # One row for each block of a file: its first number, and the lines of the blocks before it.
+    blocks = lines.groupBy("file", "block").agg(F.min("here").alias("first"), F.count("*").alias("n"))
+    upto = blocks.select("file", "block", "first", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("before"))
     parsed = F.from_json("value", f"messages array<{S.MESSAGE_DDL}>")
-    return numbered_.select("line", parsed["messages"].alias("messages"), F.try_parse_json("value").isNotNull().alias("valid"))
+    placed = lines.join(upto, ["file", "block"]).where("trim(value) <> ''")
+    return placed.select((F.col("here") - F.col("first") + F.col("before") + 1).alias("line"), parsed["messages"].alias("messages"), F.try_parse_json("value").isNotNull().alias("valid"))
 
 
 def load_recipe(path: str) -> Recipe:
@@ -121,7 +143,7 @@ def load_recipe(path: str) -> Recipe:
     raw = yaml.safe_load(Path(path).read_text()) or {}
     if not isinstance(raw.get("categories"), dict):
         raise ValueError(f"{path}: 'categories' must be a mapping")
-    return Recipe(raw["categories"], raw.get("mode", "all"), raw.get("weights") or {}, raw.get("shuffle_seed", 42))
+    return Recipe(raw["categories"], raw.get("mode", "simple"), raw.get("weights") or {}, raw.get("shuffle_seed", 42))
 
 
 def recipe_rows(spark: SparkSession, recipe: Recipe) -> DataFrame:
@@ -172,3 +194,35 @@ def concurrency(argument: int | None, declared: int | None, project: dict, defau
 def positioned(df: DataFrame, *order: str) -> DataFrame:
     """df with pos, the place of each row in the order of the given columns."""
     return numbered(df, [F.col(c) for c in order])
+
+
+def discover(folder: str, base: type) -> dict[str, type]:
+    """The named subclasses of base that a folder's Python files define, by name; files that start with _ or do not load are passed over."""
+    found: dict[str, type] = {}
+    for path in sorted(Path(folder).glob("*.py")):
+        if path.name.startswith("_"):
+            continue
+        spec = importlib.util.spec_from_file_location(f"{Path(folder).name}.{path.stem}", path)
+        module = importlib.util.module_from_spec(spec)
+        sys.modules[spec.name] = module
+        try:
+            spec.loader.exec_module(module)
+        except Exception:  # a broken file must not hide the others
+            sys.modules.pop(spec.name, None)
+            continue
+        found |= {x.name: x for x in vars(module).values() if isinstance(x, type) and issubclass(x, base) and x is not base and getattr(x, "name", "")}
+    return found
+
+
+def evaluations(project: dict[str, object], built_in: dict[str, object], prefix: str = "corvid:") -> dict[str, object]:
+    """All evaluations by name: a project's own shadow built-in ones, which always answer to their prefixed name as well."""
+    return {f"{prefix}{name}": e for name, e in built_in.items()} | built_in | project
+
+
+def manifest_rows(spark: SparkSession, manifest: dict) -> DataFrame:
+    """category, name, hash of a dataset manifest's sources; in the older flat form they stand for every category that the manifest names, else for category ""."""
+    rows = [(c, s, v.get("hash")) for c, k in manifest.get("categories", {}).items() for s, v in k.get("sources", {}).items()]
+    flat = [(s, v.get("hash")) for kind in manifest.get("sources", {}).values() for s, v in kind.items()]
+    held = {(c, s) for c, s, _ in rows}
+    rows += [(c, s, h) for c in manifest.get("categories", {}) or [""] for s, h in flat if (c, s) not in held]
+    return spark.createDataFrame(rows, "category string, name string, hash string")

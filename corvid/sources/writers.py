@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import shutil
 import uuid
 from datetime import datetime
 from pathlib import Path
 
+import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import short_hash
+from ..operators.registry import validate_release
 
 
 def write_samples(samples: DataFrame, path: str, annotated: bool = False) -> None:
@@ -45,10 +48,15 @@ def dataset_manifest(report: DataFrame, sources: DataFrame, recipe_hash: str, mo
 
 
 def content_hash(rows: DataFrame, key: str, value: Column) -> str:
-    """A hash of a table's content whatever its order: of the sorted hashes of groups of rows, so that little reaches the driver."""
-    hashed = rows.select(F.sha2(F.concat_ws("\x1f", F.col(key).cast("string"), value), 256).alias("h")).withColumn("g", F.substring("h", 1, 3))
-    groups = hashed.groupBy("g").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("h"))
-    return groups.agg(short_hash(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), "")).alias("h")).first().h
+    """A hash of a table's content whatever its order."""
+    return rows.agg(multiset_hash(F.concat_ws("\x1f", F.col(key).cast("string"), value)).alias("h")).first().h
+
+
+def multiset_hash(value: Column) -> Column:
+    """An aggregate: a hash of all values, repeats counted, whatever their order. Sums of the parts of each value's SHA-256, so it is added up before any shuffle."""
+    digest = F.sha2(value, 256)
+    sums = [F.sum(F.conv(F.substring(digest, 1 + 16 * k, 15), 16, 10).cast("decimal(38,0)")).cast("string") for k in range(4)]
+    return short_hash(F.concat_ws(":", F.count("*").cast("string"), *sums))
 
 
 def write_eval(generations: DataFrame, summary: dict, folder: str, name: str) -> dict[str, str]:
@@ -70,9 +78,36 @@ def write_registry(registry: DataFrame, path: str) -> None:
 
 
 def output_paths(base: str, name: str) -> dict[str, str]:
+    """Where a pipeline's output and its manifest stand."""
+    if not name:
+        raise ValueError("a pipeline needs a name")
     return {"output": f"{base}/{name}.jsonl", "manifest": f"{base}/{name}.manifest.json"}
 
 
+def prepared_paths(data: str, name: str) -> dict[str, str]:
+    """Where a recipe's dataset stands."""
+    return output_paths(f"{data}/prepared", name)
+
+
+def record_paths(name: str, given: str | None = None, cache: str = "pipelines/.cache", data: str = "training/data") -> dict[str, str]:
+    """Where a record task reads (the file it names, else the cache) and writes."""
+    return {"input": given or f"{cache}/{name}.jsonl", "output": output_paths(data, name)["output"]}
+
+
+def experiment_path(logs: str, name: str) -> str:
+    return f"{logs}/{name}"
+
+
+def release_prompts(versions: str, version: str, project: str) -> str:
+    """The prompts in versions/dev copied to a new version that the project file then names as its release; the new folder."""
+    new = Path(versions) / validate_release(version, {p.name for p in Path(versions).iterdir() if p.is_dir()})
+    shutil.copytree(Path(versions) / "dev", new)
+    settings = yaml.safe_load(Path(project).read_text()) or {}
+    settings.setdefault("identity", {})["release_version"] = version
+    Path(project).write_text(yaml.safe_dump(settings, sort_keys=False))
+    return str(new)
+
+
 def copy_manifest(dataset: str, experiment: str) -> bool:
     """Copies a prepared dataset's manifest to the experiment; only datasets in a folder named prepared have one."""
     at = Path(dataset)
