@@ -167,3 +167,29 @@ def same_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np
     for i in np.flatnonzero(same & (size > LONG)).tolist():
         same[i] = np.array_equal(data[starts[i] : ends[i]], other[at[i] : stop[i]])
     return same
+
+
+# ---------------------------------------------------------------- groups in sorted partitions
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Iterator[pa.Table]:
+    """Whole groups of equal keys, in sorted batches, some at a time."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = b.column(key).to_numpy()
+        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
+        if cut == 0 and held and held[-1].column(key)[-1].as_py() == k[0]:
+            held.append(b)
+            rows += b.num_rows
+            continue
+        if rows + cut >= least:
+            yield pa.Table.from_batches([*held, b.slice(0, cut)])
+            held, rows = [b.slice(cut)], b.num_rows - cut
+        else:
+            held += [b.slice(0, cut), b.slice(cut)]
+            rows += b.num_rows
+    if held:
+        yield pa.Table.from_batches(held)

@@ -215,13 +215,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, text: str = "text", doc_id:
     A document's ids are its text's, followed by ``end``. A document of at most
     ``capacity`` ids stays whole; a longer one is cut into full pieces and a rest. A null
     or empty text is one piece, the end id alone. Rows that repeat a doc_id are packed
-    each for itself; a null doc_id stays null. ``with_ids`` adds the ids (see sequences).
+    each for itself; a null doc_id stays null; both are spread by their ids. ``with_ids`` adds the ids (see sequences).
     Other columns are not read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     salts = max(1, C.partitions(spark))
     names = [x.split()[0] for x in _PIECE.split(", ")] + ["ids"] * with_ids
-    made = C.written(pieces(docs, capacity, text, doc_id, tokenizer, end, with_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
+    made = C.written(pieces(docs, capacity, text, doc_id, tokenizer, end, with_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")))
     counts = C.written(made.groupBy("length", "salt").agg(F.count("*").alias("n")))
     hist = np.zeros(capacity + 1, np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows

@@ -28,8 +28,8 @@ from ._graph import components, local_roots
 LEAST = 0.98
 #: Tables; buckets that a vector is in, in each; vectors in a tile of a large bucket.
 TABLES, PROBES, TILE = 8, 4, 256
-#: Pairs that a task joins at a time.
-PAIRS = 1 << 18
+#: Pairs that a task joins at a time, and rows of tiles that it holds.
+PAIRS, HELD = 1 << 18, 1 << 16
 SEED = 97
 
 
@@ -141,11 +141,12 @@ class _Links:
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, least: float, hashes: int, tables: int, probes: int) -> Iterator[pa.RecordBatch]:
-    """A partition's tile pairs: links of each vector."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = pa.Table.from_batches(held).combine_chunks()
+    """The tile pairs of a partition that is sorted by them, some whole ones at a time: links of each vector."""
+    for t in C.groups(batches, "met", HELD):
+        yield from _verify_some(t.combine_chunks(), width, least, hashes, tables, probes)
+
+
+def _verify_some(t: pa.Table, width: int, least: float, hashes: int, tables: int, probes: int) -> Iterator[pa.RecordBatch]:
     col = lambda n: t.column(n).to_numpy()
     bucket, one, two, mine = col("bucket"), col("one"), col("two"), col("mine")
     tile = np.lexsort((mine, two, one, bucket, col("table_"), col("label")))
@@ -238,7 +239,8 @@ def _links_of(classes: DataFrame, width: int, n: int, least: float, tables: int,
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other")
     dealt = placed.join(sizes.withColumn("tiles", tiles), at).withColumn("mine", mine).select("key", "x", "copies", *at, "mine", other)
     dealt = dealt.select("key", "x", "copies", *at, "mine", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
-    return dealt.repartition(*at, "one", "two").mapInArrow(lambda b: _verify(b, width, least, hashes, tables, probes), "key long, links long, root long")
+    met = dealt.withColumn("met", F.xxhash64(*at, "one", "two"))
+    return met.repartition("met").sortWithinPartitions("met").mapInArrow(lambda b: _verify(b, width, least, hashes, tables, probes), "key long, links long, root long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -40,8 +40,10 @@ class Kind:
     words: tuple[str, ...] = ()
 
 
-#: Spans of the method's own kinds count from this score; context is looked for this many code points around.
+#: Spans of the method's own kinds count from this score; context is looked for this many code points around, on both sides.
 LEAST, AROUND = 0.5, 48
+#: Matches that can stand so near: the shortest has five code points.
+NEAR = 10
 KINDS = (
     Kind("email", EMAIL, "@", True, 0.9, 0.1, ("mail", "contact")),
     Kind("ip", IP, "[0-9]\\.[0-9]", True, 0.6, 0.3, ("ip", "server", "host", "address")),
@@ -97,16 +99,39 @@ _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 CHUNK = 512
 
 
-def _score(kind: Kind, before: Column) -> Column:
-    """A match's score from the text before it, back to the last match."""
-    near = F.lower(F.right(before, F.lit(AROUND)))
-    fits = near.rlike("|".join(rf"\b{w}" for w in kind.words)) if kind.words else F.lit(False)
+def _around(kind: Kind, pieces: Column, matches: Column) -> Column:
+    """For each match, the AROUND code points before it and after it, other matches included, a space between the two; null for one that its validator rejects.
+
+    Only the few nearest matches can stand that near, so each looks at a bounded number of them.
+    """
+    spots = F.sequence(F.lit(1), F.size(matches))
+
+    def one(i: Column) -> Column:
+        low = F.greatest(i - NEAR, F.lit(1))
+        before = F.concat(F.when(low == 1, F.right(F.element_at(pieces, 1), F.lit(AROUND))).otherwise(""), _shift(pieces, matches, low, i - low))
+        high = F.least(F.size(matches), i + NEAR)
+        after = F.concat(F.left(F.element_at(pieces, i + 1), F.lit(AROUND)), _shift(pieces, matches, i + 1, high - i))
+        return F.when(_confirmed(kind.name, F.element_at(matches, i)), F.concat(F.right(before, F.lit(AROUND)), F.lit(" "), F.left(after, F.lit(AROUND))))
+
+    return F.transform(spots, one)
+
+
+def _shift(pieces: Column, matches: Column, first: Column, n: Column) -> Column:
+    """n matches from the first on, each with the start (and, if it is long, the end) of the piece after it."""
+    short = lambda p: F.when(F.length(p) > 2 * AROUND, F.concat(F.left(p, F.lit(AROUND)), F.right(p, F.lit(AROUND)))).otherwise(p)
+    return F.array_join(F.zip_with(F.slice(matches, first, n), F.slice(pieces, first + 1, n), lambda m, p: F.concat(m, short(p))), "")
+
+
+def _score(kind: Kind, around: Column) -> Column:
+    """A match's score from the text around it."""
+    low = F.translate(around, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fits = low.rlike(f"(?:^|[^a-z0-9_])(?:{'|'.join(kind.words)})") if kind.words else F.lit(False)
     return F.lit(kind.score) + F.when(fits, kind.bonus).otherwise(0.0)
 
 
-def _counts(kind: Kind, match: Column, before: Column) -> Column:
+def _counts(kind: Kind, around: Column) -> Column:
     """Whether a match is a span: confirmed and, for kinds that the method adds, likely enough."""
-    return _confirmed(kind.name, match) if kind.base else _confirmed(kind.name, match) & (_score(kind, before) >= LEAST)
+    return around.isNotNull() if kind.base else around.isNotNull() & (_score(kind, around) >= LEAST)
 
 
 def _running(sizes: Column) -> Column:
@@ -117,13 +142,14 @@ def _running(sizes: Column) -> Column:
 
 def _spans(kind: Kind, pieces: Column, matches: Column) -> Column:
     """Spans of a kind, in order, from its matches and the pieces between them."""
-    both = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("before"), m.alias("match"), (F.length(p) + F.length(m)).alias("size")))
+    plain = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(F.length(p).alias("before"), m.alias("match"), (F.length(p) + F.length(m)).alias("size")))
+    both = F.zip_with(plain, _around(kind, pieces, matches), lambda x, a: F.struct(x["before"].alias("before"), x["match"].alias("match"), x["size"].alias("size"), a.alias("around")))
     chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / CHUNK).cast("int")), lambda i: F.slice(both, i * CHUNK + 1, F.lit(CHUNK)))
     sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda a, x: a + x["size"]))
     starts = F.flatten(F.zip_with(chunks, _running(sums), lambda c, s: F.transform(_running(F.transform(c, lambda x: x["size"])), lambda n: n + s)))
-    placed = F.zip_with(both, starts, lambda x, s: F.struct(x["match"].alias("match"), x["before"].alias("before"), (s + F.length(x["before"])).alias("start"), (s + x["size"]).alias("end")))
-    good = F.filter(placed, lambda x: _counts(kind, x["match"], x["before"]))
-    return F.transform(good, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _score(kind, x["before"]).alias("score")))
+    placed = F.zip_with(both, starts, lambda x, s: F.struct(x["match"].alias("match"), x["around"].alias("around"), (s + x["before"]).alias("start"), (s + x["size"]).alias("end")))
+    good = F.filter(placed, lambda x: _counts(kind, x["around"]))
+    return F.transform(good, lambda x: F.struct(F.lit(kind.name).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), _score(kind, x["around"]).alias("score")))
 
 
 def _cut(text: Column, kind: Kind) -> Column:
@@ -153,16 +179,22 @@ def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS)
     the first kind. A null text stays null.
     """
     out, cut = docs, "__pii_cut"
+    while cut in docs.columns:
+        cut = f"_{cut}"
     for k in kinds:
         c, whole = F.col(cut), F.col(text)
-        said = F.zip_with(F.slice(c["p"], F.lit(1), F.size(c["m"])), c["m"], _replaced(k))
+        shown = c["m"] if k.base else F.zip_with(c["m"], _around(k, c["p"], c["m"]), lambda m, a: F.struct(m.alias("m"), a.alias("a")))
+        said = F.zip_with(F.slice(c["p"], F.lit(1), F.size(c["m"])), shown, _replaced(k))
         out = out.withColumn(cut, _cut(whole, k)).withColumn(text, F.when(F.size(c["m"]) > 0, F.concat(F.array_join(said, ""), F.element_at(c["p"], -1))).otherwise(whole))
     return out.select(*[F.col(f"`{x}`") for x in docs.columns])
 
 
 def _replaced(kind: Kind):
     """What a piece and the match after it become."""
-    return lambda p, m: F.concat(p, F.when(_counts(kind, m, p), F.lit(f"[{kind.name.upper()}]")).otherwise(m))
+    said = F.lit(f"[{kind.name.upper()}]")
+    if kind.base:
+        return lambda p, m: F.concat(p, F.when(_confirmed(kind.name, m), said).otherwise(m))
+    return lambda p, x: F.concat(p, F.when(_counts(kind, x["a"]), said).otherwise(x["m"]))
 
 
 def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -176,3 +208,37 @@ def report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kinds: t
 def query(spark, sf_dir: str) -> DataFrame:
     """op7: every whole text of ``documents``."""
     return report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: DuckDB's form of the query. Matches are marked in the text (private-use characters), which is then cut at the marks; context is read from the text by offsets.
+ORACLE_SQL = r"""
+WITH kinds(ord, kind, base, pattern) AS (VALUES
+  (1, 'email', true, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (2, 'ip', true, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), (3, 'card', true, '[0-9](?:[ -]?[0-9])+'), (4, 'phone', true, '\+[0-9][ ().0-9-]+[0-9]'),
+  (5, 'iban', false, replace('~[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}~|~(?: ~[A-Z0-9]{4}~){2,7}(?: ~[A-Z0-9]{1,3}~)?)', '~', chr(57347))), (6, 'ssn', false, '[0-9-]+')
+), d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS text FROM documents
+), cut AS (
+  SELECT r, ord, string_split(regexp_replace(CASE WHEN kind = 'iban' THEN regexp_replace(text, '([A-Za-z0-9]+)', chr(57347) || '\1' || chr(57347), 'g') ELSE text END, pattern, chr(57345) || '\0' || chr(57346), 'g'), chr(57345)) AS parts FROM d, kinds
+), parts AS (
+  SELECT r, ord, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM cut WHERE len(parts) > 1
+), sized AS (
+  SELECT *, replace(CASE WHEN i > 1 THEN split_part(part, chr(57346), 1) END, chr(57347), '') AS m, length(replace(replace(part, chr(57346), ''), chr(57347), '')) AS n FROM parts
+), placed AS (
+  SELECT r, ord, m, regexp_replace(m, '[^0-9]', '', 'g') AS digits, replace(m, ' ', '') AS plain, sum(n) OVER (PARTITION BY r, ord ORDER BY i) - n AS s FROM sized
+), tested AS (
+  SELECT *, s + length(m) AS e, CASE ord
+    WHEN 1 THEN true
+    WHEN 2 THEN len(list_filter(string_split(m, '.'), lambda p: coalesce(try_cast(p AS HUGEINT), 999) > 255)) = 0
+    WHEN 3 THEN length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(digits)), lambda k: CASE WHEN k % 2 = 0 THEN substr(digits, length(digits) - k, 1)::INT ELSE substr(digits, length(digits) - k, 1)::INT * 2 - CASE WHEN substr(digits, length(digits) - k, 1)::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 4 THEN length(digits) BETWEEN 9 AND 15
+    WHEN 5 THEN list_reduce(list_concat([0::BIGINT], list_transform(string_split(substr(plain, 5) || substr(plain, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END::BIGINT)), lambda a, x: CASE WHEN x > 9 THEN a * 100 + x ELSE a * 10 + x END % 97) = 1
+    WHEN 6 THEN regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(000|666|9)|-00-|-0000$') END AS fine
+  FROM placed WHERE m IS NOT NULL
+), kept AS (
+  SELECT r, ord, kind, base, s, kind || ':' || s || ':' || e AS span FROM tested JOIN kinds USING (ord) JOIN d USING (r)
+  WHERE fine AND (ord < 6 OR regexp_matches(translate(substr(text, greatest(s - 47, 1)::BIGINT, (s - greatest(s - 48, 0))::BIGINT) || ' ' || substr(text, (e + 1)::BIGINT, 48), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(?:^|[^a-z0-9_])(?:ssn|social security|identity|tax)'))
+), told AS (
+  SELECT r, count(*) FILTER (WHERE ord = 1) AS n_email, count(*) FILTER (WHERE ord = 2) AS n_ip, count(*) FILTER (WHERE ord = 3) AS n_card, count(*) FILTER (WHERE ord = 4) AS n_phone, string_agg(span, ',' ORDER BY ord, s) FILTER (WHERE base) AS base, string_agg(span, ',' ORDER BY ord, s) AS spans FROM kept GROUP BY r
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (r)
+"""

@@ -27,4 +27,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": substring_dedup.ORACLE_SQL,
     "op4_topk_search": topk_search.ORACLE_SQL,
     "op6_url_filters": url_filters.ORACLE_SQL,
+    "op7_pii": pii.ORACLE_SQL,
+    "op9_source_mixing": source_mixing.ORACLE_SQL,
 }

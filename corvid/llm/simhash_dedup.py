@@ -177,7 +177,7 @@ def links(distinct: DataFrame, most: int = DISTANCE, block: int = BLOCK) -> Data
     for s in (1, 2, 4, 8, 16, 32):
         x = x.bitwiseXOR(F.shiftrightunsigned(x, s))
     ranked = distinct.select("fp", x.bitwiseXOR(F.lit(-(2**63))).alias("rank"))
-    cuts = sorted({int(c) for c in ranked.select(F.percentile_approx("rank", [i / parts for i in range(1, parts)], 10_000).alias("c")).first().c or []}) if parts > 1 else []
+    cuts = sorted({int(c) for c in ranked.select(F.percentile_approx("rank", [i / parts for i in range(1, parts)], max(10_000, 20 * parts)).alias("c")).first().c or []}) if parts > 1 else []
     edges = np.array(cuts, np.int64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,7 +1,7 @@
 r"""Mixing sources to target weights by Efraimidis-Spirakis sampling.
 
 DataFrame functions only. Each document draws an exponential key, scaled by its quality
-weight (-ln(u) / w, with u from a hash of its id: reruns agree); in the order of its keys a
+weight (-ln(u) / w, with u from the MD5 of its id and text: reruns agree); in the order of its keys a
 source is a weighted sample without replacement of any size. A source's target is first
 met with whole passes over the source (epochs); the rest is the front of that order, cut
 where its prefix sum reaches the budget.
@@ -55,12 +55,12 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def sampled(docs: DataFrame, seed: int, weights: tuple[float, ...], share: float, epochs: int, carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken, copies (and what is carried), for each row of doc_id, source, size, quality_weight."""
+    """doc_id, size, source, source_size, target, taken, copies (and what is carried), for each row of doc_id, source, size, drawn, quality_weight."""
     buckets = max(BUCKETS, 4 * C.partitions(docs.sparkSession))
-    # u in (0, 1) from 52 bits of a hash; the key's bucket is monotone in the key.
-    u = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(seed)), 12).cast("double") + 0.5) / float(1 << 52)
+    # u in (0, 1) from 52 bits of the hash; the key's bucket is monotone in the key.
+    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "drawn")), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     keyed = docs.withColumn("key", -F.log(u) / F.col("quality_weight"))
-    base = C.written(keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")).drop("quality_weight"))
+    base = C.written(keyed.withColumn("bucket", F.floor((1 - F.exp(-F.col("key"))) * buckets).cast("int")).drop("quality_weight", "drawn"))
     in_bucket = C.written(base.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
     goal = targets(in_bucket.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), weights, share, epochs)
     upto = in_bucket.select("source", "bucket", (F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")).alias("bucket_before"))
@@ -94,10 +94,11 @@ def mix(docs: DataFrame, labels: DataFrame, text: str = "text", source: str = "s
     points, null last; an empty string is a source like any other. taken is the number of
     words that the mix takes, repeats counted: passes * size, and for the front of the
     sampling order once more, the document at the cut in part. A source of size 0 has
-    target 0. Rows that repeat a doc_id are separate documents with the same key. A
-    null doc_id draws one key for all its rows. An empty table gives an empty result.
+    target 0. Each row is a document of its own; rows that repeat a doc_id, or have none,
+    draw by their texts, and only rows equal in both draw the same key. An empty table gives
+    an empty result.
     """
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *carry)
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("drawn"), *carry)
     return sampled(label_weights(slim, labels), seed, weights, share, epochs, carry)
 
 
@@ -105,3 +106,32 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op9: all of ``documents``."""
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: DuckDB's form of the query: each source in the order of its keys, cut where the running size meets the rest of the target.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size,
+    (('0x' || substr(md5('20240:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM documents
+), l AS (
+  SELECT doc_id AS i, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), k AS (
+  SELECT d.*, -ln(u) / CASE WHEN q >= 1 THEN 2.0 WHEN q < 1 THEN 0.5 ELSE 1.0 END::DOUBLE AS key FROM d LEFT JOIN l ON i = doc_id
+), s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([3, 1, 2])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight FROM d GROUP BY source
+), r AS (
+  SELECT *, 2.0::DOUBLE * source_size AS most, 2.0::DOUBLE * source_size / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM s
+), v AS (
+  SELECT *, (total - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+), t AS (
+  SELECT source, source_size, CASE WHEN level >= ratio THEN most ELSE least(most, arg_min(CASE WHEN level < ratio THEN level END, CASE WHEN level < ratio THEN ratio END) OVER () * weight) END AS target FROM v
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target / source_size))::BIGINT ELSE 0 END AS epochs FROM t
+), o AS (
+  SELECT k.doc_id, k.size, p.source_size, p.target, p.epochs, greatest(0, round(p.target - p.epochs * p.source_size, 6)) AS rest,
+    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run
+  FROM k JOIN p ON k.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, least(epochs * size + round(greatest(0, least(size, rest - run)))::BIGINT, 2 * size)::BIGINT AS taken FROM o
+"""

@@ -177,36 +177,13 @@ def _member(values: np.ndarray, within: np.ndarray) -> np.ndarray:
     return within[np.minimum(np.searchsorted(within, values), len(within) - 1)] == values
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Iterator[pa.Table]:
-    """Whole groups of equal keys, in sorted batches, some at a time."""
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        k = b.column(key).to_numpy()
-        cut = int(np.searchsorted(k, k[-1]))  # the last group may go on
-        if cut == 0 and held and held[-1].column(key)[-1].as_py() == k[0]:
-            held.append(b)
-            rows += b.num_rows
-            continue
-        if rows + cut >= least:
-            yield pa.Table.from_batches([*held, b.slice(0, cut)])
-            held, rows = [b.slice(cut)], b.num_rows - cut
-        else:
-            held += [b.slice(0, cut), b.slice(cut)]
-            rows += b.num_rows
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.to_batches(max_chunksize=100_000)
 
 
 def _shared(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Anchors with two suffixes or more, of two documents; n is negative where there are more than ``most``. A group has a row for each blob at most."""
-    for t in _groups(batches, "anchor", 1 << 16):
+    for t in C.groups(batches, "anchor", 1 << 16):
         anchor, n = t.column("anchor").to_numpy(), t.column("n").to_numpy()
         new = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
         blobs = np.diff(np.r_[new, len(anchor)])
@@ -270,7 +247,7 @@ def subtrees(group: np.ndarray, words: pa.Array, before: np.ndarray, low: np.nda
 def _late(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Leaves with windows that a smaller document has, from leaves sorted by prefix and document."""
     kept: pa.Table | None = None  # of a frequent path that goes on: the first leaf of each node, its smallest document
-    for t in _groups(_split(batches), "part", BUILD):
+    for t in C.groups(_split(batches), "part", BUILD):
         own = t.num_rows
         if kept is not None:
             t = pa.concat_tables([kept.filter(pc.is_in(kept.column("prefix"), t.column("prefix").unique())), t.drop_columns(["part"])])

@@ -7,14 +7,19 @@ lies. A prefix scan over these few numbers gives, for each block, the number of
 that ended before it and the place where the open one began; with that, every end becomes
 a document's number, start and length. The scan runs in two levels (stretches of blocks,
 then the stretches of a file), so one very large file spreads over many tasks.
+
+Tasks open a file and read one block's bytes, so files may be of any size. Only where tasks
+cannot open the store (one that Spark alone reaches) do tables of blocks stand in for files.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,19 +33,54 @@ END, WIDTH = 49407, 2
 BLOCK, STRETCH = 1 << 16, 256
 
 
-def blocks_of_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """file, block, data of the flat token files under path (read by Spark's binary reader; files of up to 2 GB)."""
+def _opened(uri: str) -> tuple[fs.FileSystem, str] | None:
+    """The store and the path in it; None for a store that only Spark reads."""
+    try:
+        return fs.FileSystem.from_uri(uri.replace("file:/", "/", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return None
+
+
+def blocks_of_ranges(files: DataFrame, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """file, block, data of flat token files (file, size in bytes): tasks read each block by its range of bytes."""
+    step = block * width
+    whole = F.when(F.col("size") % width == 0, F.col("size")).otherwise(F.raise_error(F.concat("file", F.lit(f": not a whole number of {width}-byte ids"))).cast("long"))
+    ranges = files.select("file", whole.alias("size")).select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("size") / step) - 1, F.lit(0)))).alias("block"))
+    spread = ranges.repartition(C.partitions(files.sparkSession), "file", F.floor(F.col("block") / 16)).sortWithinPartitions("file", "block")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, None
+        try:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["file"] != name:
+                        if held is not None:
+                            held.close()
+                        name = r["file"]
+                        store, path = _opened(name)
+                        held = store.open_input_file(path)
+                    data = held.read_at(min(step, r["size"] - r["block"] * step), r["block"] * step) if r["size"] else b""
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([r["block"]], pa.int64()), pa.array([data], pa.binary())], ["file", "block", "data"])
+        finally:
+            if held is not None:
+                held.close()
+
+    return spread.mapInArrow(read, "file string, block long, data binary")
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0), batch.column(1), strict=True):
-                raw = content.as_buffer()
-                if raw.size % width:
-                    raise ValueError(f"{name}: not a whole number of {width}-byte ids")
-                for k, lo in enumerate(range(0, raw.size, block * width)):
-                    yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([k], pa.int64()), pa.array([raw[lo : lo + block * width].to_pybytes()], pa.binary())], ["file", "block", "data"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(cut, "file string, block long, data binary")
+def blocks_of_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
+    """file, block, data of the flat token files under path.
+
+    Spark lists them. Where tasks cannot open the store, Spark reads each file whole, and a
+    file must be under 2 GB.
+    """
+    found = spark.read.format("binaryFile").load(path)
+    if _opened(path) is not None:
+        return blocks_of_ranges(found.select(F.url_decode("path").alias("file"), F.col("length").alias("size")), width, block)
+    step = block * width
+    whole = F.when(F.col("length") % width == 0, F.col("content")).otherwise(F.raise_error(F.concat("path", F.lit(f": not a whole number of {width}-byte ids"))).cast("binary"))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.length("data") / step) - 1, F.lit(0)))).alias("block")
+    return found.select(F.col("path").alias("file"), whole.alias("data")).select("file", at, "data").select("file", "block", F.substring("data", (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("data"))
 
 
 def scan(blocks: DataFrame, end: int = END, width: int = WIDTH) -> DataFrame:
@@ -98,35 +138,42 @@ def scan(blocks: DataFrame, end: int = END, width: int = WIDTH) -> DataFrame:
     return found.select("file", "block", "size", "ends").join(state, ["file", "block"]).mapInArrow(documents, "file string, document long, start long, n_tokens long")
 
 
-def write_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str = WORD_TOKENIZER, end: int = END, block: int = BLOCK) -> DataFrame:
-    """Flat token streams of docs, one for each input task, cut into blocks regardless of documents.
+def write_tokens(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str = WORD_TOKENIZER, end: int = END, folder: str | None = None) -> DataFrame:
+    """Flat token files of docs in a folder (by default a new one in the shared folder), one for each task, an end id after each document.
 
-    Returns the written table file, block, data (16-bit ids) and, in rows of their own,
-    doc_ids: the documents that end in the block, in order.
+    Returns the written table file, chunk (its parts in order), size (bytes), data and
+    doc_ids (the documents that end in it, in order). data is null, but holds the ids where
+    tasks cannot open the store, which then has no files. A task that runs again writes
+    another file; only those in the table count.
     """
+    folder = folder or C.scratch(docs.sparkSession)
+    flat = _opened(folder) is not None
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, name = word_ids(tokenizer, True), f"part-{TaskContext.get().partitionId():08d}"
-        rest, ids, k = np.zeros(0, "<u2"), [], 0
-
-        def row(data: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.int64()))], ["file", "block", "data", "doc_ids"])
-
-        for batch in batches:
-            docs_, (data, offs) = batch.column(0).to_pylist(), C.text_buffer(batch.column(1))
-            for i, j in C.row_slices(offs):
-                flat, at = words.ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                rest = np.concatenate([rest, np.insert(flat, at[1:], end).astype("<u2")])
-                ids = ids + docs_[i:j]
-                cut = 0
-                while len(rest) - cut >= block:
-                    yield row(rest[cut : cut + block])
-                    ids, k, cut = [], k + 1, cut + block
-                rest = rest[cut:]
-        if len(rest) or ids:
-            yield row(rest)
-
-    return C.written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stream, "file string, block long, data binary, doc_ids array<long>"))
+        words, k, out = word_ids(tokenizer, True), 0, None
+        if len(words.ends) > 1 << 8 * WIDTH:
+            raise ValueError(f"{tokenizer}: its ids do not fit {WIDTH} bytes")
+        name = f"{folder.rstrip('/')}/part-{TaskContext.get().partitionId():08d}-{uuid.uuid4().hex}.ids"
+        try:
+            for batch in batches:
+                docs_, (data, offs) = batch.column(0), C.text_buffer(batch.column(1))
+                for i, j in C.row_slices(offs):
+                    ids, at = words.ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    raw = np.insert(ids, at[1:], end).astype(f"<u{WIDTH}").tobytes()
+                    if flat:
+                        if out is None:
+                            store, path = _opened(name)
+                            store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                            out = store.open_output_stream(path)
+                        out.write(raw)
+                    listed = pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), docs_.slice(i, j - i))
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([k], pa.int64()), pa.array([len(raw)], pa.int64()), pa.array([None if flat else raw], pa.binary()), listed], ["file", "chunk", "size", "data", "doc_ids"])
+                    k += 1
+        finally:
+            if out is not None:
+                out.close()
+
+    return C.written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(stream, "file string, chunk long, size long, data binary, doc_ids array<long>"))
 
 
 def count(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -136,11 +183,14 @@ def count(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     as ordinary text, so an end id only ends documents. Rows that repeat a doc_id are
     counted each for itself; a null doc_id stays null. An empty table gives an empty result.
     """
-    made = write_tokens(docs, text, doc_id)
-    counted = scan(made)
+    folder = C.scratch(docs.sparkSession)
+    made = write_tokens(docs, text, doc_id, folder=folder)
+    flat = _opened(folder) is not None
+    blocks = blocks_of_ranges(made.groupBy("file").agg(F.sum("size").alias("size"))) if flat else made.select("file", F.col("chunk").alias("block"), "data")
+    counted = scan(blocks)
     # A document's number in its file: the doc_ids listed before it.
-    order = made.select("file", "block", "doc_ids", F.size("doc_ids").alias("n"), F.floor(F.col("block") / STRETCH).alias("stretch"))
-    inner = Window.partitionBy("file", "stretch").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    order = made.select("file", "chunk", "doc_ids", F.size("doc_ids").alias("n"), F.floor(F.col("chunk") / STRETCH).alias("stretch"))
+    inner = Window.partitionBy("file", "stretch").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy("file").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = order.groupBy("file", "stretch").agg(F.sum("n").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(outer), F.lit(0))).select("file", "stretch", "base")
     listed = order.withColumn("before", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(sums, ["file", "stretch"])

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from . import _common as C
 
 K, SCALE, EVERY = 5, 256, 50
-#: Rows of a block at most and at least; slices that sums leave out.
-LARGE, SMALL, DROPPED = 1 << 15, 1 << 11, 2
+#: Rows of a block at most and at least; slices that sums leave out; queries that a block answers in one task, about.
+LARGE, SMALL, DROPPED, ASKED = 1 << 15, 1 << 11, 2, 1 << 16
 
 
 class BitSlicedIndex:
@@ -121,8 +121,8 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "ve
     A score is the inner product of the components' floor(256 x); ties go to the smaller
     vec_id. Vectors that are null or empty, or hold null or non-finite components, take no
     part, nor does a null vec_id; zero vectors do. Only vectors with as many components
-    meet. A row that repeats both vec_id and vector counts once; other rows with the
-    query's vec_id are no candidates. Components must keep |256 x| under 2^28, so that
+    meet. A row that repeats both vec_id and vector counts once, as query and as candidate;
+    other rows with the query's vec_id are no candidates. Components must keep |256 x| under 2^28, so that
     scores fit 64 bits. Other columns are not read. An empty table gives an empty result.
     """
     x = F.col("x")
@@ -141,8 +141,10 @@ def search(vectors: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "ve
 
 def _search(base: DataFrame, width: int, n: int, k: int, every: int) -> DataFrame:
     blocks = max(-(-n // LARGE), min(C.partitions(base.sparkSession), -(-n // SMALL)))
-    placed = base.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "x")
-    asked = base.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "x")
+    batches = max(1, -(-n // (every * ASKED)))
+    batch = F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch")
+    placed = base.select(F.pmod(F.xxhash64("vec_id", "x"), F.lit(blocks)).cast("int").alias("block"), batch, "vec_id", "x")
+    asked = base.where(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(batches)).cast("int").alias("batch"), "vec_id", "x")
 
     def answer(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]
@@ -162,7 +164,7 @@ def _search(base: DataFrame, width: int, n: int, k: int, every: int) -> DataFram
                     held.append(x)
         return pa.table({name: np.concatenate(x).astype(np.int64) for name, x in zip(("query_id", "vec_id", "score"), out, strict=True)})
 
-    return placed.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(answer, "query_id long, vec_id long, score long")
+    return placed.groupBy("block", "batch").cogroup(asked.groupBy("block", "batch")).applyInArrow(answer, "query_id long, vec_id long, score long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -173,7 +175,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 #: DuckDB's form of the query.
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x FROM (SELECT DISTINCT vec_id, embedding FROM embeddings)
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x)::BIGINT AS score

@@ -6,6 +6,9 @@ often those tokens occur; a rule is filed under its rarest one. The index is a l
 table of buckets, addressed by a token's hash: a URL's tokens fetch the few rules filed
 under them, and only those run their expressions. Row by row, without a shuffle: a host or
 URL that a third of all rows have costs no more than any other.
+
+Lists of more than ``PLANNED`` rules are a table instead: distinct URLs meet the rules filed
+under their tokens in a join, each distinct URL is judged once, and rows take its verdict.
 """
 
 from __future__ import annotations
@@ -57,11 +60,20 @@ HOST_RULES = (
     host_rule("block", "example.com", "/de/"),
     host_rule("allow", "org", "/fr/"),
 )
-#: The method's own: path words of advertising, tracking and gambling, as whole path segments or host labels.
-PATTERN_RULES = tuple(
-    pattern_rule(f"word:{w}", "block", rf"(?i)(?:^|[./]){w}(?:[./]|$)", w) for w in ("adserver", "doubleclick", "tracking", "casino", "porn", "phishing", "malware", "clickbait")
-)
+#: The method's own: words that block a URL where they are a whole path segment or host label, by subject.
+WORDS = {
+    "advertising": ("adserver", "adservice", "adsystem", "adnetwork", "adclick", "adsense", "adwords", "advertising", "banners", "popunder", "popads", "doubleclick", "sponsored", "affiliates"),
+    "tracking": ("tracking", "tracker", "clicktrack", "pixel", "beacon", "analytics", "telemetry", "fingerprinting"),
+    "gambling": ("casino", "casinos", "poker", "roulette", "blackjack", "sportsbook", "betting", "slots", "jackpot", "lottery"),
+    "adult": ("porn", "porno", "xxx", "nsfw", "escorts", "camgirls", "hentai", "onlyfans"),
+    "fraud": ("phishing", "scam", "cryptodoubler", "freegiftcards", "getrichquick", "replica", "fakeid"),
+    "malware": ("malware", "ransomware", "keylogger", "warez", "keygen", "cracked", "torrents", "serials"),
+    "spam": ("clickbait", "linkfarm", "essaymills", "payday", "viagra", "cialis", "pharmacy", "weightloss"),
+}
+PATTERN_RULES = tuple(pattern_rule(f"{subject}:{w}", "block", rf"(?i)(?:^|[./]){w}(?:[./]|$)", w) for subject, some in WORDS.items() for w in some)
 RULES = HOST_RULES + PATTERN_RULES
+#: Rules that the plan itself can hold; longer lists are joined.
+PLANNED = 2_000
 
 
 def lower_ascii(x: Column) -> Column:
@@ -127,25 +139,55 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple[Rule, ...] = RULES, o
     ``otherwise``. Rows are judged each for itself, repeats included. Columns of pages
     stay; one that has the name of an added column is replaced.
     """
-    if len(rules) > 10_000:
-        raise ValueError("the index is part of the plan: at most 10,000 rules")
+    if len(rules) > PLANNED:
+        rows = [(r.name, r.verdict, r.pattern, list(r.tokens), r.host_rule) for r in rules]
+        return judge_by_table(pages, pages.sparkSession.createDataFrame(rows, RULE_TABLE), url, otherwise)
     buckets, table = _index(rules, token_counts(pages, url, rules))
     host, path = _parts(F.col(url))
     at = F.concat(F.col("host"), F.col("path"))
+    filed_, fits_, best_ = (_free(pages, n) for n in ("filed", "fits", "best"))
     filed = F.flatten(F.transform(_tokens(at), lambda t: F.filter(F.get(table, _bucket_column(t, buckets)), lambda r: r["token"] == t)))
-    fits = F.filter(F.col("_filed"), lambda r: F.call_function("rlike", at, r["pattern"]))
+    fits = F.filter(F.col(filed_), lambda r: F.call_function("rlike", at, r["pattern"]))
     # Host rules before patterns, longer before shorter, block before allow.
-    best = F.array_max(F.transform(F.col("_fits"), lambda r: F.struct(r["rank"].alias("rank"), (r["verdict"] == "block").alias("block"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
+    best = F.array_max(F.transform(F.col(fits_), lambda r: F.struct(r["rank"].alias("rank"), (r["verdict"] == "block").alias("block"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
     return (
         pages.withColumns({"host": host, "path": path})
-        .withColumn("_filed", filed)
-        .withColumn("_fits", F.when(F.size("_filed") > 0, fits))
-        .withColumn("_best", best)
-        .withColumns({"rule": F.when(F.col("_best.rank") >= 0, F.col("_best.name")), "verdict": F.coalesce(F.col("_best.verdict"), F.lit(otherwise))})
-        .drop("_filed", "_fits", "_best")
+        .withColumn(filed_, filed)
+        .withColumn(fits_, F.when(F.size(filed_) > 0, fits))
+        .withColumn(best_, best)
+        .withColumns({"rule": F.when(F.col(best_)["rank"] >= 0, F.col(best_)["name"]), "verdict": F.coalesce(F.col(best_)["verdict"], F.lit(otherwise))})
+        .drop(filed_, fits_, best_)
     )
 
 
+def _free(pages: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column has."""
+    while name in (*pages.columns, "host", "path", "rule", "verdict"):
+        name = f"_{name}"
+    return name
+
+
+#: A table of rules, of any length.
+RULE_TABLE = "name string, verdict string, pattern string, tokens array<string>, host_rule boolean"
+
+
+def judge_by_table(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow") -> DataFrame:
+    """judge, with the rules of a table (RULE_TABLE) of any length."""
+    host, path = _parts(F.col(url))
+    at_, token, n, best = (_free(pages, x) for x in ("at", "token", "n", "best"))
+    base = pages.withColumns({"host": host, "path": path}).withColumn(at_, F.concat("host", "path"))
+    tokens = base.select(at_).distinct().select(at_, F.explode(_tokens(F.col(at_))).alias(token))
+    listed = rules.select("name", "verdict", "pattern", F.when(F.col("host_rule"), F.length("name")).otherwise(-1).alias("rank"), F.explode("tokens").alias(token))
+    counts = tokens.join(listed.select(token).distinct(), token, "left_semi").groupBy(token).agg(F.count("*").alias(n))
+    rarest = F.min(F.struct(F.coalesce(n, F.lit(0)).alias("n"), F.col(token).alias("token")))["token"]
+    filed = listed.join(counts, token, "left").groupBy("name", "verdict", "pattern", "rank").agg(rarest.alias(token))
+    fits = tokens.join(filed, token).where(F.call_function("rlike", F.col(at_), F.col("pattern")))
+    top = F.max(F.struct(F.col("rank"), (F.col("verdict") == "block").alias("block"), F.col("name"), F.col("verdict")))
+    judged = base.join(fits.groupBy(at_).agg(top.alias(best)), at_, "left")
+    told = judged.withColumns({"rule": F.when(F.col(best)["rank"] >= 0, F.col(best)["name"]), "verdict": F.coalesce(F.col(best)["verdict"], F.lit(otherwise))})
+    return told.select(*[F.col(f"`{c}`") for c in (*pages.columns, *(x for x in ("host", "path", "rule", "verdict") if x not in pages.columns))])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op6: every url of ``pages``."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
@@ -153,7 +195,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 #: DuckDB's form of the query; the method's own rules are listed as the words they look for.
-ORACLE_SQL = r"""
+ORACLE_SQL = rf"""
 WITH u AS (
   SELECT page_id,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -171,7 +213,7 @@ WITH u AS (
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('net/', 'example.com/de/') THEN 'block'
   WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches(host || path, '(?i)(?:^|[./])(?:adserver|doubleclick|tracking|casino|porn|phishing|malware|clickbait)(?:[./]|$)') THEN 'block'
+  WHEN regexp_matches(host || path, '(?i)(?:^|[./])(?:{'|'.join(w for some in WORDS.values() for w in some)})(?:[./]|$)') THEN 'block'
   ELSE 'allow' END AS verdict
 FROM j
 """

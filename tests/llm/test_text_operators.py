@@ -95,6 +95,23 @@ def test_pii_checks_and_context(spark):
     assert got == {1: "iban:5:32,iban:37:59", 2: "", 3: "ssn:4:15", 4: ""}
 
 
+def test_context_on_both_sides(spark):
+    far = "x" * 60
+    texts = {
+        "078-05-1120 is my social security number": [(0, 11)], "ssn: 078-05-1120, 078-05-1121 and 078-05-1122": [(5, 16), (18, 29), (34, 45)], "078-05-1120 078-05-1121 078-05-1122 tax": [(0, 11), (12, 23), (24, 35)],
+        f"ssn {far} 078-05-1120 {far} tax": [], "078-05-1120": [], "mass 078-05-1120": [], "é_ssn 078-05-1120 SSN": [(6, 17)], "ssn 000-05-1120 666-05-1120 078-05-1120": [(28, 39)],
+    }
+    texts |= {"ssn " + " ".join(["078-05-1120"] * 8): [(4 + 12 * k, 15 + 12 * k) for k in range(4)], " ".join(["078-05-1120"] * 9) + " tax": [(12 * k, 12 * k + 11) for k in range(5, 9)]}
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.spans for r in pii.report(documents(spark, rows)).collect()}
+    # By hand: a word anywhere in the 48 code points before or after.
+    for i, (t, spans) in enumerate(texts.items()):
+        found = [(m.start(), m.end()) for m in re.finditer(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", t) if not re.match("000|666", m[0]) and re.search(r"(?:^|[^a-z0-9_])(?:ssn|social security|identity|tax)", f"{t[max(0, m.start() - 48) : m.start()]} {t[m.end() : m.end() + 48]}".lower())]
+        assert found == spans and got[i] == ",".join(f"ssn:{a}:{b}" for a, b in spans), t
+    red = {r.doc_id: r.text for r in pii.redact(documents(spark, rows).withColumn("__pii_cut", F.lit(1))).collect()}
+    assert red[1] == "ssn: [SSN], [SSN] and [SSN]" and red[4] == "078-05-1120"
+
+
 def test_redaction(spark):
     rows = [(1, "mail a@b.co, card 4111 1111 1111 1111 or +1 555 010 9999.", None, None), (2, "clean 2024-01-02 text 3.14", None, None), (3, None, None, None), (4, "4111 1111 1111 1112", None, None)]
     df = documents(spark, rows)
@@ -127,13 +144,19 @@ def test_url_rules_agree_with_all_rules_run(spark):
     rules = tuple({r.name: r for r in rules}.values()) + (url_filters.pattern_rule("p", "block", r"/x1(?:/|$)", "x1"),)
     urls = [f"http://{'.'.join(rng.choice(names, rng.integers(1, 4)))}/{'/'.join(rng.choice(names, rng.integers(0, 3)))}" for _ in range(300)]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
-    for r in url_filters.judge(df, rules=rules).collect():
+    by_table = spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens), r.host_rule) for r in rules], url_filters.RULE_TABLE)
+    clashing = df.withColumns({"_filed": F.lit(1), "best": F.lit(2), "token": F.lit(3), "rule": F.lit("x")})
+    judged = url_filters.judge(df, rules=rules).collect()
+    for other in (url_filters.judge(clashing, rules=rules), url_filters.judge_by_table(clashing, by_table)):
+        assert {"_filed", "best", "token"} <= set(other.columns) and len(set(other.columns)) == len(other.columns)
+        assert sorted(map(tuple, other.select("page_id", "host", "path", "rule", "verdict").collect()), key=repr) == sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in judged), key=repr)
+    for r in judged:
         at = r.host + r.path
         fit = [x for x in rules if re.search(x.pattern, at)]
         hosts = [x for x in fit if x.host_rule]
         best = max(hosts, key=lambda x: (len(x.name), x.verdict == "block", x.name), default=None)
-        assert (r.rule and len(r.rule)) == (best and len(best.name))
-        assert r.verdict == (best.verdict if best and r.rule == best.name else "block" if not best and fit else r.verdict)
+        assert r.rule == (best.name if best else None)
+        assert r.verdict == (best.verdict if best else "block" if fit else "allow")
     with pytest.raises(ValueError):
         url_filters.pattern_rule("x", "block", ".*")
 
@@ -210,12 +233,28 @@ def test_separator_scan(spark, block, monkeypatch):
     assert sorted(tuple(r) for r in got) == sorted(want)
 
 
-def test_token_files_round_trip(spark, tmp_path):
+def test_token_files_round_trip(spark, tmp_path, monkeypatch):
     ids = np.array([5, 6, 9, 9, 7, 9, 8], "<u2")
     (tmp_path / "a.bin").write_bytes(ids.tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    got = token_counts.scan(token_counts.blocks_of_files(spark, str(tmp_path), block=2), end=9).collect()
-    assert sorted(r.n_tokens for r in got) == [0, 1, 1, 2]
+    for opened in (token_counts._opened, lambda uri: None):  # by ranges, and as Spark reads them
+        monkeypatch.setattr(token_counts, "_opened", opened)
+        got = token_counts.scan(token_counts.blocks_of_files(spark, str(tmp_path), block=2), end=9).collect()
+        assert sorted(r.n_tokens for r in got) == [0, 1, 1, 2]
+        assert {(r.file.rsplit("/")[-1], r.document, r.start) for r in got} == {("a.bin", 0, 0), ("a.bin", 1, 3), ("a.bin", 2, 4), ("a.bin", 3, 6)}
+        (tmp_path / "c.odd").write_bytes(b"abc")
+        with pytest.raises(Exception, match="whole number"):
+            token_counts.blocks_of_files(spark, str(tmp_path)).collect()
+        (tmp_path / "c.odd").unlink()
+
+
+def test_token_counts_without_files(spark, monkeypatch):
+    rows = corpus(7)
+    want = sorted((repr(r.doc_id), r.n_tokens) for r in token_counts.count(documents(spark, rows)).collect())
+    made = token_counts.write_tokens(documents(spark, rows))
+    assert made.where("data is not null").count() == 0 and made.agg(F.sum("size")).first()[0] == 2 * (len(rows) + sum(n for _, n in want))
+    monkeypatch.setattr(token_counts, "_opened", lambda uri: None)
+    assert sorted((repr(r.doc_id), r.n_tokens) for r in token_counts.count(documents(spark, rows)).collect()) == want
 
 
 def test_token_counts(spark):
