@@ -193,3 +193,52 @@ def groups(batches: Iterator[pa.RecordBatch], key: str, least: int = 1) -> Itera
             rows += b.num_rows
     if held:
         yield pa.Table.from_batches(held)
+
+
+# ---------------------------------------------------------------- a sieve before a join
+
+#: Bits of a sieve: for each key, and at most in all; bits in a slice of it.
+SIEVE_BITS, SIEVE_MOST, SIEVE_SLICE = 16, 1 << 28, 1 << 16
+
+
+def _spots(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The two bits of each key."""
+    h = mix(keys.view(np.uint64))
+    return np.stack([h % np.uint64(bits), mix(h + _BASE) % np.uint64(bits)]).astype(np.int64)
+
+
+def sieved(table: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of table whose long ``key`` is in keys, and a few others: a semi-join on what is left gives the exact rows.
+
+    A Bloom filter of keys, built slice by slice and bounded by SIEVE_MOST bits (32 MB),
+    goes to the tasks, so rows that no key has stay where they are. With more keys than it
+    is made for it lets more rows pass, never fewer than all that match.
+    """
+    spark = table.sparkSession
+    n = keys.count()
+    bits = min(SIEVE_MOST, max(SIEVE_SLICE, -(-n * SIEVE_BITS // SIEVE_SLICE) * SIEVE_SLICE))
+
+    def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.unique(_spots(b.column(0).to_numpy(), bits))
+            yield pa.RecordBatch.from_arrays([pa.array((at // SIEVE_SLICE).astype(np.int32)), pa.array((at % SIEVE_SLICE).astype(np.int32))], ["slice", "at"])
+
+    def fill(t: pa.Table) -> pa.Table:
+        held = np.zeros(SIEVE_SLICE, bool)
+        held[t.column("at").to_numpy()] = True
+        return pa.table({"slice": t.column("slice")[:1], "held": pa.array([np.packbits(held).tobytes()], pa.binary())})
+
+    whole = np.zeros(bits // 8, np.uint8)
+    for r in keys.select(key).mapInArrow(spots, "slice int, at int").groupBy("slice").applyInArrow(fill, "slice int, held binary").collect():  # SIEVE_MOST bits in all
+        whole[r.slice * SIEVE_SLICE // 8 :][: SIEVE_SLICE // 8] = np.frombuffer(bytes(r.held), np.uint8)
+    shared = spark.sparkContext.broadcast(np.unpackbits(whole).view(bool) if bits <= 1 << 24 else whole)
+    at = table.columns.index(key)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for b in batches:
+            spot = _spots(b.column(at).to_numpy(), bits)
+            fine = held[spot] if held.dtype == bool else (held[spot >> 3] >> (7 - (spot & 7)).astype(np.uint8) & 1).astype(bool)
+            yield b.filter(pa.array(fine.all(axis=0)))
+
+    return table.mapInArrow(pick, table.schema)

@@ -198,7 +198,9 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: st
     members = _open(C.written(keyed.join(shared, "key").select("node", "n", "key").distinct()), of)
     # The sets of their nodes, each from the row with the smallest hash.
     one = made.select("node", "row").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
-    sets = C.written(made.select("node", "row", "shingles").join(C.written(one), ["node", "row"], "left_semi").select("node", "shingles").dropDuplicates(["node"]))
+    one = C.written(one)
+    sets = C.written(C.sieved(made.select("node", "row", "shingles"), one, "row").join(one, ["node", "row"], "left_semi").select("node", "shingles").dropDuplicates(["node"]))
+    C.used_up(one)
     C.used_up(made)
     of = _named(of, C.written(verify(_star(members), sets)))
     members = _open(members, of)

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from corvid.llm import embedding_dedup, simhash_dedup, substring_dedup
+from corvid.llm import _graph, embedding_dedup, simhash_dedup, substring_dedup
 from corvid.llm._graph import stars
 
 from .helpers import corpus, documents, words
@@ -123,7 +123,9 @@ def brute_components(n, linked):
     return root
 
 
-def test_simhash_equals_brute_force(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 17])
+def test_simhash_equals_brute_force(spark, monkeypatch, at_once):
+    monkeypatch.setattr(_graph, "AT_ONCE", at_once)
     rows = [(i, t.upper() if t and i and i % 5 == 0 else t, l, s) for i, t, l, s in corpus(4)]
     fps = brute_simhash(rows)
     root = brute_components(len(rows), lambda a, b: bin(fps[a] ^ fps[b]).count("1") <= 2)
@@ -170,7 +172,9 @@ def test_simhash_blocks_link_across(spark, monkeypatch):
     assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 64 for a, b in edges) and len({find(x) for x in root}) >= 300
 
 
-def test_stars_of_long_chains_and_hubs(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 17])
+def test_stars_of_long_chains_and_hubs(spark, monkeypatch, at_once):
+    monkeypatch.setattr(_graph, "AT_ONCE", at_once)
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(7, 7)]
     got = {(r.a, r.b) for r in stars(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(1, 61)} | {(1000 + i, 1000) for i in range(1, 50)}

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as P
-from corvid.llm import shingle_dedup
+from corvid.llm import _common, shingle_dedup
 
 from .helpers import documents, words
 from .test_dedup import WORD, brute_components, brute_simhash
@@ -52,3 +52,13 @@ def test_near_dedup_in_small_tiles(spark, monkeypatch):
         monkeypatch.setattr(shingle_dedup, name, 2)
     got = P.keep_one_of_each(spark, documents(spark, rows), "")
     assert sorted(r.doc_id for r in got.collect()) == kept(rows)
+
+
+def test_sieve_passes_all_that_match(spark, monkeypatch):
+    table = spark.range(20_000).selectExpr("id * 7919 - 3000000 as k", "id as v")
+    keys = table.where("v % 10 = 0").select("k").withColumnRenamed("k", "key").withColumnRenamed("key", "k")
+    for most in (1 << 28, 1 << 16):  # with too few bits more pass, none is lost
+        monkeypatch.setattr(_common, "SIEVE_MOST", most)
+        got = {r.v for r in _common.sieved(table.repartition(5), keys, "k").collect()}
+        assert set(range(0, 20_000, 10)) <= got and len(got) < (2_500 if most > 1 << 16 else 20_000)
+    assert _common.sieved(table, keys.where("false"), "k").count() == 0 and _common.sieved(table.where("false"), keys, "k").count() == 0
