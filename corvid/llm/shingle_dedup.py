@@ -30,6 +30,8 @@ from ._graph import local_roots, stars
 SIZE, BANDS, ROWS = 5, 24, 4
 #: Nodes and shingles in a tile, about; members that meet a bucket's smallest node in one group.
 TILE, TILE_SHINGLES, STAR = 256, 1 << 18, 1024
+#: Bytes of sketches whose rows go to one file.
+ROWS_OF = 128 << 20
 #: A shingle is a hash of so many bytes.
 BYTES = 5
 
@@ -182,7 +184,8 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: st
     Words and case are op5's. Texts without words are copies of each other.
     """
     made = C.written(sketches(docs, text, doc_id, row))
-    rows = C.written(made.select("doc_id", "row", "node"))
+    # A few bytes of each row: one task for each ROWS_OF bytes of made, or there are as many tiny files as splits.
+    rows = C.written(made.select("doc_id", "row", "node").coalesce(max(1, -(-C.plan_bytes(made) // ROWS_OF))))
     # Labels: op5's components, by their smallest fingerprint.
     edges = C.written(simhash_dedup.links(made.select("fp").distinct(), simhash_dedup.DISTANCE))
     near = stars(edges)
