@@ -1,4 +1,5 @@
 import random
+import re
 
 import corpus_pipeline as P
 from corvid.llm import _common, shingle_dedup
@@ -11,7 +12,7 @@ def similar(a, b):
     """Whether two texts' sets of five-word shingles have a similarity of 0.8 or more."""
     sets = []
     for t in (a, b):
-        w = WORD.findall((t or "").lower())
+        w = WORD.findall(re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))  # op5's case: no other letters
         sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
     return 5 * len(sets[0] & sets[1]) >= 4 * len(sets[0] | sets[1])
 
