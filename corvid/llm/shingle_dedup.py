@@ -198,16 +198,17 @@ def cluster(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", row: st
     # Buckets of two or more nodes: their smallest and largest node differ.
     keyed = made.select("node", "n", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("key")
-    members = _open(C.written(keyed.join(shared, "key").select("node", "n", "key").distinct()), of)
+    # Few bytes are left of each partition, here and of edges: rebalanced, or each writes a tiny file.
+    members = _open(C.written(keyed.join(shared, "key").select("node", "n", "key").distinct().hint("rebalance")), of)
     # The sets of their nodes, each from the row with the smallest hash.
     one = made.select("node", "row").join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row"))
     one = C.written(one)
     sets = C.written(C.sieved(made.select("node", "row", "shingles"), one, "row").join(one, ["node", "row"], "left_semi").select("node", "shingles").dropDuplicates(["node"]))
     C.used_up(one)
     C.used_up(made)
-    of = _named(of, C.written(verify(_star(members), sets)))
+    of = _named(of, C.written(verify(_star(members), sets).hint("rebalance")))
     members = _open(members, of)
     asked = C.written(_tiles(members))
-    of = _named(of, C.written(verify(asked, sets)))
+    of = _named(of, C.written(verify(asked, sets).hint("rebalance")))
     C.used_up(members, asked, sets)
     return rows.join(of, "node").select("doc_id", "row", F.col("label").alias("component"))
