@@ -67,7 +67,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", keep_identified), ("near_dedup", keep_one_of_each), ("pii", redact), ("mixing", mix), ("packing", pack)]
 
-#: Learned models, fingerprint components and token plans have no SQL form; tests hold near_dedup against brute force, mixing against its targets, and the rest to some properties.
+#: Learned models, fingerprint components and token plans have no SQL form; tests hold every stage and the whole run against brute force.
 ORACLE_SQL = None
 
 
