@@ -39,9 +39,13 @@ def of_experiment(results: DataFrame, experiment: str, alias: str = "alias") ->
 
 
 def run_numbers(results: DataFrame, by: list[str]) -> DataFrame:
-    """results with run: the chronological number of each run within by, and runs: how many there are."""
+    """results with run: the chronological number of each run within by, and runs: how many there are.
+
+    Runs that share timestamp and id stand by pos, their place in the index, where results has it.
+    """
     w = Window.partitionBy(*by)
-    return results.withColumn("run", F.row_number().over(w.orderBy("timestamp", "id"))).withColumn("runs", F.count("*").over(w))
+    order = ["timestamp", "id", *(["pos"] if "pos" in results.columns else [])]
+    return results.withColumn("run", F.row_number().over(w.orderBy(*order))).withColumn("runs", F.count("*").over(w))
 
 
 def compare(results: DataFrame, models: list[str], config: list[str]) -> DataFrame:
