@@ -41,10 +41,10 @@ def of_experiment(results: DataFrame, experiment: str, alias: str = "alias") ->
 def run_numbers(results: DataFrame, by: list[str]) -> DataFrame:
     """results with run: the chronological number of each run within by, and runs: how many there are.
 
-    Runs that share timestamp and id stand by pos, their place in the index, where results has it.
+    Runs that share timestamp and id stand by pos, their place in the index, where results has it; nulls come last.
     """
     w = Window.partitionBy(*by)
-    order = ["timestamp", "id", *(["pos"] if "pos" in results.columns else [])]
+    order = [F.col(c).asc_nulls_last() for c in ("timestamp", "id", "pos") if c != "pos" or c in results.columns]
     return results.withColumn("run", F.row_number().over(w.orderBy(*order))).withColumn("runs", F.count("*").over(w))
 
 

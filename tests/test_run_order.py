@@ -28,3 +28,13 @@ def _same(spark, d, name):
 
 def test_compared_runs(spark, tied):
     _same(spark, tied, "results_compare")
+
+
+def test_run_numbers(spark, tied):
+    _same(spark, tied, "results_run_numbers")
+
+
+@pytest.mark.parametrize("name", ["results_compare", "results_run_numbers"])
+def test_runs_without_time(spark, small, tmp_path, name):
+    duckdb.sql(f"COPY (SELECT * REPLACE (CASE WHEN o_orderkey % 7 > 0 THEN o_orderdate END AS o_orderdate) FROM '{small}/orders.parquet' ORDER BY o_orderkey DESC) TO '{tmp_path}/orders.parquet'")
+    _same(spark, str(tmp_path), name)
